@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import unify
+from thicket.llm import neardup, unify
 from thicket.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,20 @@ def _each(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _near_duplicates(spark: SparkSession, d: str) -> neardup.Links:
+    is_table = F.coalesce(F.col("metadata.is_table_summary"), F.lit(False))
+    rows = table(spark, d, "chunks").select("row_id", is_table.alias("kind"), F.when(is_table, F.col("raw_payload")).otherwise(F.col("content_to_embed")).alias("text"))
+    return neardup.near_duplicates(rows, "row_id", "text", "kind", threshold=0.7)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.pairs(_near_duplicates(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(_near_duplicates(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _each({tab: unify.same_look_pairs(df, "row_key", "text") for tab, df in _two_tables(spark, d).items()})
 
@@ -36,5 +50,5 @@ def p5_consistent_form(spark: SparkSession, d: str) -> DataFrame:
     return _each({tab: unify.consistent_form(df, ["row_key"], "text") for tab, df in _two_tables(spark, d).items()})
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found, "p5_consistent_form": p5_consistent_form}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form}
 SQL: dict[str, str] = {}
