@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import neardup, unify
+from thicket.llm import curves, neardup, unify
 from thicket.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_near_duplicates(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return curves.mutual(curves.close_vectors(table(spark, d, "chunks"), "row_id", "embedding", size=64, least=0.9), k=10)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _each({tab: unify.same_look_pairs(df, "row_key", "text") for tab, df in _two_tables(spark, d).items()})
 
@@ -50,5 +54,5 @@ def p5_consistent_form(spark: SparkSession, d: str) -> DataFrame:
     return _each({tab: unify.consistent_form(df, ["row_key"], "text") for tab, df in _two_tables(spark, d).items()})
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form}
 SQL: dict[str, str] = {}
