@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thicket.llm import lookalikes as L
+from thicket.session import cut
 
 _CONTROL = r"[\x00-\x08\x0E-\x1F\x7F]"
 _MAP_TYPE = T.StructType(
@@ -112,7 +113,7 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     base = df.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__t")).where("__id is not null and __t <> ''")
     digest = lambda c: F.unhex(F.md5(c))
-    forms = consistent_form(base.withColumn("__d", digest("__t")), ["__id", "__d"], "__t").select("__id", F.col("__d").alias("__stored"), digest("canonical").alias("__form"))
+    forms = cut(consistent_form(base.withColumn("__d", digest("__t")), ["__id", "__d"], "__t").select("__id", F.col("__d").alias("__stored"), digest("canonical").alias("__form")))
     mixed = forms.groupBy("__form").agg(F.min("__stored").alias("__a"), F.max("__stored").alias("__b")).where("__a <> __b").select("__form")
     left = forms.join(mixed, "__form", "left_semi")
     a, b = left.select("__form", F.col("__id").alias("id_a"), F.col("__stored").alias("__sa")), left.select("__form", F.col("__id").alias("id_b"), F.col("__stored").alias("__sb"))
