@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import curves, neardup, unify
+from thicket.llm import chunker, curves, neardup, unify
 from thicket.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,19 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_near_duplicates(spark, d))
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    limits = {r["tab"]: r for r in table(spark, d, "size_limits").collect()}  # fixed: a row for each table
+    return _each({tab: chunker.split_oversized(df, "row_key", "text", limits[tab]["max_chars"], limits[tab]["overlap_chars"]) for tab, df in _two_tables(spark, d).items()})
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).where("pieces > 1 and piece_no = 1").select("tab", "row_key")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return curves.mutual(curves.close_vectors(table(spark, d, "chunks"), "row_id", "embedding", size=64, least=0.9), k=10)
 
@@ -54,5 +67,10 @@ def p5_consistent_form(spark: SparkSession, d: str) -> DataFrame:
     return _each({tab: unify.consistent_form(df, ["row_key"], "text") for tab, df in _two_tables(spark, d).items()})
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form}
+SQL: dict[str, str] = {
+    "p3_found": """
+        SELECT 'loaded_docs' AS tab, load_id AS row_key FROM loaded_docs, size_limits WHERE tab = 'loaded_docs' AND length(markdown_content) > max_chars
+        UNION ALL
+        SELECT 'chunks' AS tab, row_id AS row_key FROM chunks, size_limits WHERE tab = 'chunks' AND length(content_to_embed) > max_chars""",
+}
