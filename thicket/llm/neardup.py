@@ -1,7 +1,7 @@
 """Problem 1: near-duplicate records, by a Gray-order hierarchical index over similarity-preserving fingerprints.
 
 Fingerprint. Every row's bag of words becomes 60 slots of one byte, each the least element of the bag under one random
-order (consistent weighted sampling: a word that at least one row in twenty holds weighs a tenth, so that rows don't
+order (consistent weighted sampling: a word that at least one row in a hundred holds weighs a tenth, so that rows don't
 meet through the words everybody uses). Two slots agree with a probability equal to the weighted similarity.
 
 Index. An upper node of the index is a bit pattern shared under a mask: 20 masks of three slots each. Rows below a node
@@ -33,9 +33,9 @@ from thicket.session import cut
 SLOTS, PER_MASK = 60, 3
 MASKS = SLOTS // PER_MASK
 #: Radius in the 120-bit residual code. Pairs of weighted similarity 0.6 differ in 24 bits, give or take 5.
-RADIUS = 44
+RADIUS = 40
 #: A word is common from this share of the rows on; there are at most (words of a row / COMMON) such words.
-COMMON, COMMON_WEIGHT = 0.05, 0.1
+COMMON, COMMON_WEIGHT = 0.01, 0.1
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LEAF = 16
