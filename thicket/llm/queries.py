@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import chunker, curves, neardup, unify
+from thicket.llm import chunker, curves, mixing, neardup, packing, tokens, unify
+from thicket.session import cut
 from thicket.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +68,49 @@ def p5_consistent_form(spark: SparkSession, d: str) -> DataFrame:
     return _each({tab: unify.consistent_form(df, ["row_key"], "text") for tab, df in _two_tables(spark, d).items()})
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form}
+def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
+    sizes = cut(tokens.sized(table(spark, d, "documents"), "doc_id", "text"))
+    windows = table(spark, d, "packing_windows").collect()  # fixed: two rows
+    return [(w["window_id"], w["capacity_tokens"], packing.pack(sizes, w["capacity_tokens"])) for w in windows]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _union([df.select(F.lit(w).alias("window_id"), *df.columns) for w, _, df in _packed(spark, d)])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_packed(spark, d).where("pieces > 1").select("window_id", "doc_id").distinct()
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return _union([packing.report(df, c).select(F.lit(w).alias("window_id"), F.lit(c).alias("capacity_tokens"), "*") for w, c, df in _packed(spark, d)])
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = cut(tokens.sized(table(spark, d, "documents"), "doc_id", "text", "source"))
+    return mixing.mix(sizes, table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1].where("short").select("source")
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_selection": p8_selection, "p8_shares": p8_shares}
 SQL: dict[str, str] = {
     "p3_found": """
         SELECT 'loaded_docs' AS tab, load_id AS row_key FROM loaded_docs, size_limits WHERE tab = 'loaded_docs' AND length(markdown_content) > max_chars
