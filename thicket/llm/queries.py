@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import chunker, curves, mixing, neardup, packing, tokens, unify
+from thicket.llm import chunker, curves, mixing, neardup, packing, readability, tokens, unify
 from thicket.session import cut
 from thicket.sources.tables import table
 
@@ -110,7 +110,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_selection": p8_selection, "p8_shares": p8_shares}
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return readability.levels(cut(readability.measures(table(spark, d, "documents"), "doc_id", "text")), table(spark, d, "reading_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).where("band = 4").select("doc_id")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 SQL: dict[str, str] = {
     "p3_found": """
         SELECT 'loaded_docs' AS tab, load_id AS row_key FROM loaded_docs, size_limits WHERE tab = 'loaded_docs' AND length(markdown_content) > max_chars
