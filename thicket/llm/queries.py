@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import chunker, curves, mixing, neardup, packing, readability, tokens, unify
+from thicket.llm import chunker, curves, mixing, neardup, packing, pii, readability, tokens, unify
 from thicket.session import cut
 from thicket.sources.tables import table
 
@@ -68,6 +68,20 @@ def p5_consistent_form(spark: SparkSession, d: str) -> DataFrame:
     return _each({tab: unify.consistent_form(df, ["row_key"], "text") for tab, df in _two_tables(spark, d).items()})
 
 
+def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _each(_two_tables(spark, d, "raw_payload"))
+    return rows, pii.spans(rows, ["tab", "row_key"], "text", table(spark, d, "known_names"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d)[1].select("tab", "row_key", "pii_type", "start_pos")
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    rows, found = _personal(spark, d)
+    return pii.redact(rows, ["tab", "row_key"], "text", cut(found))
+
+
 def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
     sizes = cut(tokens.sized(table(spark, d, "documents"), "doc_id", "text"))
     windows = table(spark, d, "packing_windows").collect()  # fixed: two rows
@@ -118,7 +132,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where("band = 4").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 SQL: dict[str, str] = {
     "p3_found": """
         SELECT 'loaded_docs' AS tab, load_id AS row_key FROM loaded_docs, size_limits WHERE tab = 'loaded_docs' AND length(markdown_content) > max_chars
