@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm import chunker, curves, mixing, neardup, packing, pii, readability, tokens, unify
+from thicket.llm import chunker, curves, mixing, neardup, packing, pii, readability, scans, tokens, unify
 from thicket.session import cut
 from thicket.sources.tables import table
 
@@ -43,6 +43,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_near_duplicates(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy_lines(table(spark, d, "loaded_docs"), "load_id", "markdown_content")
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "loaded_docs"), "load_id", "markdown_content")
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     limits = {r["tab"]: r for r in table(spark, d, "size_limits").collect()}  # fixed: a row for each table
     return _each({tab: chunker.split_oversized(df, "row_key", "text", limits[tab]["max_chars"], limits[tab]["overlap_chars"]) for tab, df in _two_tables(spark, d).items()})
@@ -132,7 +140,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where("band = 4").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 SQL: dict[str, str] = {
     "p3_found": """
         SELECT 'loaded_docs' AS tab, load_id AS row_key FROM loaded_docs, size_limits WHERE tab = 'loaded_docs' AND length(markdown_content) > max_chars
