@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,23 @@ def local_session(app: str = "thicket", cores: str = "8", partitions: int = 8) -
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, wherever they run; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="thicket-code-")) / "thicket.zip"  # on the driver; Spark hands it out
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
