@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the rank file. Fixed value.
@@ -27,7 +28,7 @@ def encoding(path: str):
 def token_count(text: Column | str, path: str = VOCABULARY) -> Column:
     """Tokens of a text; null and empty texts have none. Strings of special tokens count as ordinary text."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoding(path)
         for s in batches:
