@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Dimension and metric of the production index, batch of the embedder, sample of the verification.
@@ -27,7 +28,7 @@ class Embedder(Protocol):
 
 def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = EMBED_BATCH) -> DataFrame:
     """Adds embedding and embed_error. A batch that fails gives null embeddings and its error; no row is lost."""
-    schema = df.schema.add("embedding", "array<float>").add("embed_error", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -15,7 +15,7 @@ from thicket.sources.converters import Converter, StandardConverter
 def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file_name, path, length, modified, content) of the accepted files of a folder (not of folders in it), a file, or a list.
 
-    Content is read only by plans that use it. The name is the decoded last part of the path.
+    Content is read only by plans that use it. Spark's file source doesn't list files of no bytes. The name is the decoded last part of the path.
     """
     raw = spark.read.format("binaryFile").load(paths)
     name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))

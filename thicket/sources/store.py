@@ -37,10 +37,10 @@ class Store:
             raise ValueError(f"{path} exists with other settings: {self.settings()}")
 
     def _pointer(self) -> dict | None:
-        p = self._path("_current")
+        p = self._path("CURRENT")
         if not self._fs.exists(p):
             return None
-        return json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.path}/_current").first()[1])
+        return json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.path}/CURRENT").first()[1])
 
     def version(self) -> int | None:
         now = self._pointer()
@@ -57,11 +57,11 @@ class Store:
         now = self._pointer() or {"version": -1, "settings": self._settings}
         nxt = now["version"] + 1
         df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v{nxt}")
-        out = self._fs.create(self._path("_next"), True)
+        out = self._fs.create(self._path("NEXT"), True)
         out.write(bytearray(json.dumps({"version": nxt, "settings": now["settings"]}).encode()))
         out.close()
-        self._fs.delete(self._path("_current"), False)
-        self._fs.rename(self._path("_next"), self._path("_current"))
+        self._fs.delete(self._path("CURRENT"), False)
+        self._fs.rename(self._path("NEXT"), self._path("CURRENT"))
         self._fs.delete(self._path(f"v{nxt - 2}"), True)
 
 
