@@ -384,7 +384,7 @@ def spans(df: DataFrame, keys: list[str], text: str, names: DataFrame, threshold
             found = [[dict(zip(("type", "a", "b", "votes"), c)) for c in ex.candidates(t)] for t in pdf["__t"]]
             any_ = np.array([bool(x) for x in found], bool)
             out = pdf.loc[any_, keys].copy()
-            out["found"] = [x for x in found if x]
+            out["found"] = pd.Series([x for x in found if x], index=out.index, dtype=object)
             yield out
 
     proposed = cut(base.mapInPandas(propose, f"{kinds}, found {_FOUND}"))
