@@ -52,8 +52,9 @@ def _compose(parts: Column) -> Column:
 
     def segment(s: Column, j: Column) -> Column:
         stop = F.coalesce(F.get(starts, j + 1), F.size(parts))
-        marks = F.array_sort(F.transform(F.slice(parts, s + 2, stop - s - 1), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["c"].alias("c"))))
-        begin = F.struct(F.get(parts, s)["c"].alias("b"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+        base = F.when(F.get(parts, s)["k"] == 0, 1).otherwise(0)  # none where the text begins with marks
+        marks = F.array_sort(F.transform(F.slice(parts, s + 1 + base, stop - s - base), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["c"].alias("c"))))
+        begin = F.struct(F.when(base == 1, F.get(parts, s)["c"]).otherwise("").alias("b"), F.lit("").alias("rest"), F.lit(0).alias("last"))
 
         def step(a: Column, m: Column) -> Column:
             joined = F.when((a["last"] == 0) | (a["last"] < m["k"]), F.try_element_at(table, F.concat(a["b"], m["c"])))
