@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Sizes over capacity / SMALL are large; GROUPS groups of equal cardinality; SALT parts of the rank of one size.
-SMALL, GROUPS, SALT = 6, 32, 64
+SMALL, GROUPS, SALT = 6, 48, 64
 
 Run = tuple[int, int, int, int, int]  # size, first rank, number of items, first container, items in each
 
@@ -233,4 +233,4 @@ def report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, tokens, the least possible number of containers, and the share of room that is filled."""
     c = packed.groupBy("container").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     out = c.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.max("t").alias("fullest"))
-    return out.select("*", F.ceil(F.col("tokens") / capacity).alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * capacity), 6).alias("filled"))
+    return out.select("*", F.ceil(F.col("tokens") / capacity).alias("least_containers"), F.when(F.col("containers") > 0, F.round(F.try_divide(F.col("tokens"), F.col("containers") * capacity), 6)).alias("filled"))
