@@ -36,6 +36,11 @@ MASKS = SLOTS // PER_MASK
 RADIUS = 40
 #: A word is common from this share of the rows on; there are at most (words of a row / COMMON) such words.
 COMMON, COMMON_WEIGHT = 0.01, 0.1
+#: Rows that a word must at least be in to count as common: in a small table, copies alone would make it so.
+SUPPORT = 100
+#: Rows of which this share of words is common are indexed a second time with all words alike. In a class of near-copies
+#: that holds a large part of all rows, what they share is common, and only their differences would weigh.
+MOSTLY_COMMON = 0.93
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LEAF = 16
@@ -76,10 +81,10 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, _mix(h + occ * np.uint64(0x9E3779B97F4A7C15)), row
 
 
-def slots(h: np.ndarray, e: np.ndarray, row: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have words, and their slots (rows x SLOTS bytes)."""
+def slots(e: np.ndarray, row: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have words, and their slots (rows x SLOTS bytes). ``common`` tells which elements weigh less."""
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    weight = np.where(np.isin(h, common), 1 / COMMON_WEIGHT, 1.0)
+    weight = np.where(common, 1 / COMMON_WEIGHT, 1.0)
     out = np.empty((len(starts), SLOTS), np.uint8)
     seeds = _mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     for j in range(SLOTS):
@@ -105,25 +110,35 @@ def _fingerprint(common: np.ndarray):
                 h, e, row = bags(pdf["canonical"].tolist())
                 if not len(h):
                     continue
-                rows, s = slots(h, e, row, common)
-                r1, r2 = residual(s)
-                kind = pdf["kind"].to_numpy()[rows].astype(np.int64)
-                three = s.reshape(len(s), MASKS, PER_MASK).astype(np.int64)
-                nodes = (kind[:, None] << 32) | (np.arange(MASKS) << 24) | (three[:, :, 0] << 16) | (three[:, :, 1] << 8) | three[:, :, 2]
                 ends = np.r_[np.flatnonzero(row[1:] != row[:-1]) + 1, len(row)]
                 starts = np.r_[0, ends[:-1]]
                 own = [np.sort(e[a:b]).tobytes() for a, b in zip(starts, ends)]
-                yield pd.DataFrame(
-                    {
-                        "row_id": pdf["row_id"].to_numpy()[rows],
-                        "kind": kind.astype(np.int32),
-                        "digest": [hashlib.md5(x).digest() for x in own],
-                        "nodes": list(nodes),
-                        "rank": gray_rank(r1).astype(np.int64),
-                        "rest": r2.astype(np.int64),
-                        "bag": own,
-                    }
-                )
+                digest = [hashlib.md5(x).digest() for x in own]
+                often = np.isin(h, common)
+                share = np.add.reduceat(often.astype(float), starts) / (ends - starts)
+                for alt in (0, 1):
+                    pick = np.ones(len(starts), bool) if not alt else share >= MOSTLY_COMMON
+                    if not pick.any():
+                        continue
+                    use = np.repeat(pick, ends - starts)
+                    rows, s = slots(e[use], row[use], often[use] & (not alt))
+                    r1, r2 = residual(s)
+                    kind = pdf["kind"].to_numpy()[rows].astype(np.int64)
+                    three = s.reshape(len(s), MASKS, PER_MASK).astype(np.int64)
+                    nodes = ((kind[:, None] + 2 * alt) << 32) | (np.arange(MASKS) << 24) | (three[:, :, 0] << 16) | (three[:, :, 1] << 8) | three[:, :, 2]
+                    at_ = np.flatnonzero(pick)
+                    yield pd.DataFrame(
+                        {
+                            "row_id": pdf["row_id"].to_numpy()[rows],
+                            "kind": kind.astype(np.int32),
+                            "alt": np.int32(alt),
+                            "digest": [digest[i] for i in at_],
+                            "nodes": list(nodes),
+                            "rank": gray_rank(r1).astype(np.int64),
+                            "rest": r2.astype(np.int64),
+                            "bag": [own[i] for i in at_] if not alt else None,
+                        }
+                    )
 
     return run
 
@@ -239,7 +254,7 @@ def common_words(df: DataFrame, text: str) -> np.ndarray:
     if not rows:
         return np.zeros(0, np.uint64)
     words = df.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("w"))
-    often = words.groupBy("w").count().where(F.col("count") >= max(2, COMMON * rows)).where("w <> ''")
+    often = words.groupBy("w").count().where(F.col("count") >= max(SUPPORT, COMMON * rows)).where("w <> ''")
     found = sorted(r["w"] for r in often.select("w").toLocalIterator())
     return pd.util.hash_array(np.array(found, dtype=object), categorize=False) if found else np.zeros(0, np.uint64)
 
@@ -262,10 +277,10 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str | None = No
     base = df.select(F.col(f"`{row_id}`").cast("long").alias("row_id"), (F.coalesce(F.col(f"`{kind}`"), F.lit(False)) if kind else F.lit(False)).cast("int").alias("kind"), F.col(f"`{text}`").alias("t")).where("row_id is not null and t <> ''")
     common = common_words(base, "t")
     form = consistent_form(base, ["row_id", "kind"], "t")
-    schema = "row_id long, kind int, digest binary, nodes array<long>, rank long, rest long, bag binary"
+    schema = "row_id long, kind int, alt int, digest binary, nodes array<long>, rank long, rest long, bag binary"
     rows = cut(form.mapInPandas(_fingerprint(common), schema))
-    reps = rows.groupBy("kind", "digest").agg(F.min_by(F.struct("row_id", "nodes", "rank", "rest"), "row_id").alias("r")).select("kind", "digest", "r.*")
-    members = rows.select("row_id", "kind", "digest").distinct().withColumn("rep", F.min("row_id").over(Window.partitionBy("kind", "digest")))
+    reps = rows.groupBy("kind", "digest", "alt").agg(F.min_by(F.struct("row_id", "nodes", "rank", "rest"), "row_id").alias("r")).select("r.*")
+    members = rows.where("alt = 0").select("row_id", "kind", "digest").distinct().withColumn("rep", F.min("row_id").over(Window.partitionBy("kind", "digest")))
     flat = reps.select(F.col("row_id").alias("id"), F.explode("nodes").alias("node"), "rank", "rest")
     hot = flat.groupBy("node").count().where(F.col("count") > node_rows).select("node", F.ceil(F.col("count") / node_rows).cast("int").alias("n"))
     spread = (
@@ -276,7 +291,7 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str | None = No
         .select("node", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "rank", "rest")
     )
     found = spread.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", "rank").mapInPandas(_search(radius), "a long, b long").distinct()
-    bag = rows.select("row_id", "bag")
+    bag = rows.where("alt = 0").select("row_id", "bag").dropDuplicates(["row_id"])
     both = found.join(bag.select(F.col("row_id").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag.select(F.col("row_id").alias("b"), F.col("bag").alias("bag_b")), "b")
     links = both.mapInPandas(_verify(threshold), "a long, b long, similarity double")
     return Links(members.select("row_id", "rep"), cut(links.dropDuplicates(["a", "b"])))
