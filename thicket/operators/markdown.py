@@ -58,11 +58,14 @@ def breadcrumbs(line: DataFrame, key: str) -> DataFrame:
     return seen.withColumn("breadcrumb", crumb).drop(*[f"__h{k}" for k in LEVELS])
 
 
-def blocks(line: DataFrame, key: str) -> DataFrame:
-    """(key, block, level, breadcrumb, body): a heading, or the lines up to the next one without blank ones."""
+def blocks(line: DataFrame, key: str, keep_first: bool = False) -> DataFrame:
+    """(key, block, level, breadcrumb, body): a heading, or the lines up to the next one without blank ones.
+
+    ``keep_first`` keeps the first line even if blank, so that every document has a block (an empty one, if need be).
+    """
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_heading = F.col("level") > 0
-    crumbed = breadcrumbs(line, key).where(is_heading | (P.strip(F.col("line")) != ""))
+    crumbed = breadcrumbs(line, key).where(is_heading | (P.strip(F.col("line")) != "") | ((F.col("pos") == 0) & F.lit(keep_first)))
     start = is_heading | (F.coalesce(F.lag("level").over(Window.partitionBy(key).orderBy("pos")), F.lit(1)) > 0)
     numbered = crumbed.withColumn("block", F.sum(start.cast("int")).over(w))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
@@ -74,11 +77,10 @@ def propagate(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Blocks are set apart by a blank line; blank lines inside a block are gone. An empty text stays empty.
     """
-    b = blocks(lines(df, key, text), key)
+    b = blocks(lines(df, key, text), key, keep_first=True)
     shown = F.when((F.col("level") == 0) & (F.col("breadcrumb") != "") & (F.col("body") != ""), F.concat(F.lit(CONTEXT[0]), "breadcrumb", F.lit(CONTEXT[1] + "\n"), "body")).otherwise(F.col("body"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", shown.alias("s")))), lambda x: x["s"]), "\n\n")
-    made = b.groupBy(key).agg(joined.alias("markdown"))
-    return df.where(F.col(text).isNotNull()).select(key).distinct().join(made, key, "left").select(key, F.coalesce("markdown", F.lit("")).alias("markdown"))
+    parts = F.array_sort(F.collect_list(F.struct("block", shown.alias("s"), ((F.col("body") != "") | (F.col("level") > 0)).alias("there"))))
+    return b.groupBy(key).agg(F.array_join(F.transform(F.filter(parts, lambda x: x["there"]), lambda x: x["s"]), "\n\n").alias("markdown"))
 
 
 def segments(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -87,42 +89,34 @@ def segments(df: DataFrame, key: str, text: str) -> DataFrame:
     A table is a row with pipes at both ends, a separator, and rows (at least one); blank lines between them belong to it.
     A row that goes on after its last pipe ends the table there: the rest is text.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base = lines(df, key, text)
-    filled = P.strip(F.col("line")) != ""
+    k = f"`{key}`"
+    by, then = f"over (partition by {k} order by pos)", f"over (partition by {k} order by pos, half)"
+    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     row, sep = F.col("line").rlike(ROW), F.col("line").rlike(SEPARATOR)
     cut = ~row & F.col("line").rlike(rf"^{P.SPACE}*\|[^\n]+\|")
-    marked = base.select(key, "pos", "line", filled.alias("filled"), row.alias("row"), sep.alias("sep"), cut.alias("cut"))
-    # Only filled lines decide; blank ones follow the table they stand in.
-    full = marked.where("filled")
-    ahead = full.select("*", F.lead("sep", 1, False).over(w).alias("s1"), (F.lead("row", 2, False).over(w) | F.lead("cut", 2, False).over(w)).alias("r2"))
+    # Only filled lines decide (blank ones are null here); blank lines go with the table they stand in.
+    filled = P.strip(F.col("line")) != ""
+    marked = lines(df, key, text).select(key, "pos", "line", filled.alias("filled"), *[F.when(filled, c).alias(n) for n, c in (("row", row), ("sep", sep), ("cut", cut))])
+    ahead = marked.select("*", F.expr(f"lead(sep, 1) ignore nulls {by}").alias("s1"), F.expr(f"lead(row or cut, 2) ignore nulls {by}").alias("r2"), F.expr(f"lag(cut, 1) ignore nulls {by}").alias("c0"))
     rowish = F.col("row") | F.col("cut")
-    run = ahead.withColumn("gap", F.sum((~rowish | F.lag("cut", 1, False).over(w)).cast("int")).over(upto))  # rows between gaps stand together
-    head = F.col("row") & F.col("s1") & F.col("r2")
-    g = Window.partitionBy(key, "gap").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = run.withColumn("table_at", F.first(F.when(head, F.col("pos")), ignorenulls=True).over(g)).withColumn("in_table", rowish & F.col("table_at").isNotNull())
-    # A row cut after its last pipe: the table's part and the rest become lines of their own.
-    kept = F.regexp_extract("line", rf"^({P.SPACE}*\|[^\n]+\|)", 1)
-    rest = F.regexp_replace("line", rf"^{P.SPACE}*\|[^\n]+\|", "")
-    halves = F.when(F.col("in_table") & F.col("cut"), F.array(F.struct(F.lit(0).alias("half"), kept.alias("line"), F.lit(True).alias("t")), F.struct(F.lit(1).alias("half"), rest.alias("line"), F.lit(False).alias("t")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("half"), F.col("line").alias("line"), F.col("in_table").alias("t")))
-    )
-    split = inside.select(key, "pos", "table_at", F.explode(halves).alias("x")).select(key, "pos", F.col("x.half").alias("half"), F.col("x.line").alias("line"), F.col("x.t").alias("t"), F.when(F.col("x.t"), F.col("table_at")).alias("table_at"))
-    blank = marked.where("not filled").select(key, "pos", F.lit(0).alias("half"), "line", F.lit(None).cast("boolean").alias("t"), F.lit(None).cast("int").alias("table_at"))
+    apart = F.coalesce(~rowish | F.col("c0"), ~rowish, F.lit(False))
+    run = ahead.withColumn("gap", F.sum(apart.cast("int")).over(upto))  # rows between two gaps stand together
+    head = F.col("row") & F.coalesce("s1", F.lit(False)) & F.coalesce("r2", F.lit(False))
+    within = Window.partitionBy(key, "gap").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = run.withColumn("at", F.first(F.when(head, F.col("pos")), ignorenulls=True).over(within)).withColumn("at", F.when(rowish, F.col("at")))
+    # A row that goes on after its last pipe: the table's part and the rest become lines of their own.
+    kept, rest = F.regexp_extract("line", rf"^({P.SPACE}*\|[^\n]+\|)", 1), F.regexp_replace("line", rf"^{P.SPACE}*\|[^\n]+\|", "")
+    part = lambda n, line, at: F.struct(F.lit(n).alias("half"), line.alias("line"), at.alias("at"))
+    halves = F.when(F.col("at").isNotNull() & F.col("cut"), F.array(part(0, kept, F.col("at")), part(1, rest, F.lit(None).cast("int")))).otherwise(F.array(part(0, F.col("line"), F.col("at"))))
+    split = inside.select(key, "pos", "filled", F.explode(halves).alias("x")).select(key, "pos", "filled", "x.*")
+    known = "case when filled then coalesce(at, -1) end"
+    around = split.select("*", F.expr(f"lag({known}, 1) ignore nulls {then}").alias("b"), F.expr(f"lead({known}, 1) ignore nulls {then}").alias("f"))
+    placed = around.withColumn("at", F.when(F.col("filled"), F.coalesce("at", F.lit(-1))).when((F.col("b") == F.col("f")) & (F.col("b") >= 0), F.col("b")).otherwise(-1))
     order = Window.partitionBy(key).orderBy("pos", "half")
-    both = split.unionByName(blank)
-    told = both.withColumn("is_table", F.coalesce("t", F.lit(False))).withColumn("at", F.when(F.col("is_table"), F.col("table_at")))
-    # Blank lines inside a table join it (the rows around them have the same table).
-    back = F.last(F.when(F.col("t").isNotNull(), F.struct("t", "table_at")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    front = F.first(F.when(F.col("t").isNotNull(), F.struct("t", "table_at")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    told = told.withColumn("b", back).withColumn("f", front)
-    within = F.col("t").isNull() & F.coalesce(F.col("b.t") & F.col("f.t") & (F.col("b.table_at") == F.col("f.table_at")), F.lit(False))
-    told = told.withColumn("is_table", F.col("is_table") | within).withColumn("at", F.when(within, F.col("b.table_at")).otherwise(F.col("at")))
-    change = F.coalesce((F.lag("is_table").over(order) != F.col("is_table")) | ~F.lag("at").over(order).eqNullSafe(F.col("at")), F.lit(True))
-    numbered = told.withColumn("n", F.sum(change.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    change = F.coalesce(F.lag("at").over(order) != F.col("at"), F.lit(True))
+    numbered = placed.withColumn("n", F.sum(change.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     body = P.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "half", "line"))), lambda x: x["line"]), "\n"))
-    made = numbered.groupBy(key, "n").agg(F.first("is_table").alias("is_table"), body.alias("body")).where("body <> ''")
+    made = numbered.groupBy(key, "n").agg((F.first("at") >= 0).alias("is_table"), body.alias("body")).where("body <> ''")
     return made.select(key, F.row_number().over(Window.partitionBy(key).orderBy("n")).alias("segment"), "is_table", "body")
 
 
