@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from thicket.llm import chunker, curves, mixing, neardup, packing, pii, readability, scans, tokens, unify
+from thicket.operators import vectors
 from thicket.session import cut
 from thicket.sources.tables import table
 
@@ -68,6 +70,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return curves.mutual(curves.close_vectors(table(spark, d, "chunks"), "row_id", "embedding", size=64, least=0.9), k=10)
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar rows of every 50th row (the stated set of searches), among all rows; exact, tile by tile."""
+    v = curves.usable(table(spark, d, "chunks"), "row_id", "embedding", 64)
+    hit = vectors.top_k(v.where("id % 50 = 0"), v, 11, 64).where("query_id <> id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return hit.withColumn("rank", rank).where("rank <= 10").select(F.col("query_id").alias("row_id"), F.col("id").alias("neighbour"), "rank", F.round("score", 6).alias("cosine"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _each({tab: unify.same_look_pairs(df, "row_key", "text") for tab, df in _two_tables(spark, d).items()})
 
@@ -140,8 +150,43 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where("band = 4").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+_P9 = r"""
+    WITH docs AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '\pL')),
+    w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\pL]+')) AS w FROM docs),
+    tok AS (SELECT doc_id, w FROM w WHERE w <> ''),
+    cnt AS (SELECT w, count(*) AS n FROM tok GROUP BY w),
+    hist AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS rank FROM cnt GROUP BY n),
+    tr AS (SELECT doc_id, w, rank, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS i, count(*) OVER (PARTITION BY doc_id) AS words FROM tok JOIN cnt USING (w) JOIN hist USING (n)),
+    sen AS (SELECT doc_id, greatest(1, len(list_filter(string_split_regex(text, '[.!?]+([ \t\n\f\r]|\z)|\n[ \t\n\f\r]*\n|\n[ \t\n\f\r]*[-*#0-9]'), lambda x: regexp_matches(x, '\pL')))) AS s FROM docs),
+    m AS (
+        SELECT doc_id, any_value(words)::BIGINT AS words, (max(rank) FILTER (i = ceil(words * 0.9::DOUBLE)))::BIGINT AS coverage_rank, round(ln((max(rank) FILTER (i = ceil(words * 0.9::DOUBLE)))::DOUBLE), 6) AS coverage,
+            round(sum(length(w))::DOUBLE / any_value(words), 6) AS word_length, round(count(*) FILTER (length(w) >= 10)::DOUBLE / any_value(words), 6) AS long_share, round(any_value(words)::DOUBLE / any_value(s), 6) AS sentence_words
+        FROM tr JOIN sen USING (doc_id) GROUP BY doc_id
+    ),
+    l AS (SELECT band, unnest([{'f': 'coverage', 'x': coverage}, {'f': 'word_length', 'x': word_length}, {'f': 'long_share', 'x': long_share}, {'f': 'sentence_words', 'x': sentence_words}]) AS e FROM m JOIN reading_labels USING (doc_id) WHERE band IS NOT NULL),
+    mid AS (SELECT band, e.f AS f, quantile_cont(e.x, 0.5) AS mid FROM l GROUP BY ALL),
+    unit AS (SELECT mid.f, greatest(quantile_cont(abs(l.e.x - mid.mid), 0.5), 0.001) AS u FROM l JOIN mid ON mid.band = l.band AND mid.f = l.e.f GROUP BY mid.f),
+    far AS (
+        SELECT doc_id, mid.band, sum(((CASE mid.f WHEN 'coverage' THEN coverage WHEN 'word_length' THEN word_length WHEN 'long_share' THEN long_share ELSE sentence_words END - mid.mid) / u) ^ 2) AS d
+        FROM m, mid JOIN unit USING (f) GROUP BY doc_id, mid.band
+    ),
+    out AS (SELECT m.*, (SELECT arg_min(band, (d, band)) FROM far WHERE far.doc_id = m.doc_id) AS band FROM m)"""
+
 SQL: dict[str, str] = {
+    "p4_found": """
+        WITH v AS (SELECT row_id AS id, embedding::DOUBLE[] AS v FROM chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.id <> b.id),
+        n AS (SELECT a, b, score, rank() OVER (PARTITION BY a ORDER BY score DESC) AS rank FROM s),
+        k AS (SELECT a, b FROM n WHERE rank <= 10 AND score >= 0.9)
+        SELECT x.a AS id_a, x.b AS id_b FROM k x JOIN k y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
+    "p9_levels": f"{_P9} SELECT * FROM out",
+    "p9_found": f"{_P9} SELECT doc_id FROM out WHERE band = 4",
+    "p4_neighbours": """
+        WITH v AS (SELECT row_id AS id, embedding::DOUBLE[] AS v FROM chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT q.id AS row_id, c.id AS neighbour, round(list_cosine_similarity(q.v, c.v), 9) AS score FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, neighbour)::INT AS rank FROM s QUALIFY rank <= 10)
+        SELECT row_id, neighbour, rank, round(score, 6) AS cosine FROM r""",
     "p3_found": """
         SELECT 'loaded_docs' AS tab, load_id AS row_key FROM loaded_docs, size_limits WHERE tab = 'loaded_docs' AND length(markdown_content) > max_chars
         UNION ALL

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from thicket.session import cut
 
 COVER, LONG, HEAD = 0.9, 10, 20_000
-_STOP = r"[.!?]+(\s|$)|\n\s*\n|\n\s*(?=[-*#0-9])"
+_STOP = r"[.!?]+([ \t\n\f\r]|\z)|\n[ \t\n\f\r]*\n|\n[ \t\n\f\r]*[-*#0-9]"
 MEASURES = ("coverage", "word_length", "long_share", "sentence_words")
 
 
