@@ -69,3 +69,29 @@ def test_query_loop(spark):
     assert sorted((r["query_id"], r["origin"], r["id"]) for r in hits.collect()) == [(1, "primary", 10), (2, "secondary", 50)]
     text = spark.createDataFrame([(10, "ten"), (50, "fifty")], "id long, text string")
     assert {r["query_id"]: r["context"] for r in retrieval.context(hits, text).collect()} == {1: "ten", 2: "fifty"}
+
+
+def test_answers(spark):
+    class Echo:
+        def generate(self, questions, contexts):
+            if "fail" in questions:
+                raise RuntimeError("no")
+            return [f"{q}: {c}" for q, c in zip(questions, contexts)]
+
+    ctx = spark.createDataFrame([(1, "one")], "query_id long, context string")
+    q = spark.createDataFrame([(1, "a"), (2, "b"), (3, "fail")], "id long, question string")
+    out = {r["query_id"]: (r["answer"], r["error"]) for r in retrieval.answer(ctx, q, Echo(), batch=1).collect()}
+    assert out == {1: ("a: one", None), 2: ("b: ", None), 3: (None, "RuntimeError: no")}
+
+
+def test_providers():
+    import pytest
+
+    from thicket.plans import providers
+
+    assert providers.provider("grading") is None
+    providers.register("grading", lambda: "service")
+    assert providers.provider("grading") == "service"
+    with pytest.raises(ValueError):
+        providers.provider("painting")
+    assert providers.text_of([{"text": " a"}, "x", {"text": "b "}, {}]) == "ab" and providers.text_of(" s ") == "s"

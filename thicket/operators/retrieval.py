@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,23 @@ def context(hits: DataFrame, texts: DataFrame) -> DataFrame:
     joined = hits.join(texts, "id")
     parts = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return joined.groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("context"))
+
+
+def answer(contexts: DataFrame, questions: DataFrame, generator: Generator, batch: int = 16) -> DataFrame:
+    """(query_id, answer, error): a generator's answers to (id, question) from their contexts, batch by batch.
+
+    A batch that fails gives null answers with its error; queries without context are asked with an empty one.
+    """
+    asked = questions.select(F.col("id").alias("query_id"), "question").join(contexts.select("query_id", "context"), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                try:
+                    said, error = generator.generate(part["question"].tolist(), part["context"].tolist()), None
+                except Exception as e:  # this batch only
+                    said, error = [None] * len(part), f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "answer": pd.Series(said, dtype=object), "error": error})
+
+    return asked.mapInPandas(run, "query_id long, answer string, error string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -26,13 +27,18 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float] | None]: ...
 
 
-def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = EMBED_BATCH) -> DataFrame:
-    """Adds embedding and embed_error. A batch that fails gives null embeddings and its error; no row is lost."""
+def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = EMBED_BATCH, delay: float = 0.0) -> DataFrame:
+    """Adds embedding and embed_error. A batch that fails gives null embeddings and its error; no row is lost.
+
+    ``delay`` seconds pass between two batches of a task: the rate of a task. Coalesce the input to bound the tasks.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), batch):
+                if delay and at:
+                    time.sleep(delay)
                 part = pdf.iloc[at : at + batch].copy()
                 try:
                     vectors, error = embedder.embed(part[text].tolist()), None
