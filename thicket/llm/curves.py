@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from thicket.session import cut
 
 DIMS, BITS = 10, 6
-CURVES, WINDOW = 12, 40
+CURVES, WINDOW = 16, 40
 #: What 8-bit codes may lose of a cosine.
 SLACK = 0.02
 
