@@ -7,7 +7,7 @@ gazetteer knows the names it lists and no others.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -22,7 +22,8 @@ CARD = r"\b[0-9]{4}([ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}\b"
 
 
 def redact_email(c: Column) -> Column:
-    return F.regexp_replace(c, EMAIL, "<EMAIL_ADDRESS>")
+    # Without an at sign the pattern would only try every start of every long run of letters.
+    return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, EMAIL, "<EMAIL_ADDRESS>")).otherwise(c)
 
 
 def redact_ssn(c: Column) -> Column:
@@ -82,14 +83,17 @@ def redact_person(c: Column, recogniser: Recogniser) -> Column:
 ENTITIES = {"EMAIL_ADDRESS": redact_email, "US_SSN": redact_ssn, "CREDIT_CARD": redact_card, "PHONE_NUMBER": redact_phone}
 
 
-def redact(c: Column, recogniser: Recogniser | None = None, entities: Iterable[str] = (*ENTITIES, "PERSON")) -> Column:
-    """The chosen entities redacted; null comes out empty."""
+def steps(recogniser: Recogniser | None = None, entities: Iterable[str] = (*ENTITIES, "PERSON")) -> list[Callable[[Column], Column]]:
+    """The redactors of the chosen entities in order; persons only with a recogniser."""
     wanted = set(entities)
     if unknown := wanted - {*ENTITIES, "PERSON"}:
         raise ValueError(f"no such entity: {sorted(unknown)}")
-    for name, step in ENTITIES.items():
-        if name in wanted:
-            c = step(c)
-    if "PERSON" in wanted and recogniser:
-        c = redact_person(c, recogniser)
+    out = [step for name, step in ENTITIES.items() if name in wanted]
+    return out + [lambda c: redact_person(c, recogniser)] if "PERSON" in wanted and recogniser else out
+
+
+def redact(c: Column, recogniser: Recogniser | None = None, entities: Iterable[str] = (*ENTITIES, "PERSON")) -> Column:
+    """The chosen entities redacted; null comes out empty."""
+    for step in steps(recogniser, entities):
+        c = step(c)
     return F.coalesce(c, F.lit(""))

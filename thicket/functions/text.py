@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,11 +38,29 @@ def collapse_newlines(c: Column) -> Column:
     return F.regexp_replace(c, P.BLANK_RUN, "\n\n")
 
 
+def empty_if_null(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+#: The cleaning, step by step; null comes out empty.
+CLEAN = (clean_symbol_lines, clean_page_markers, clean_images, clean_tags, clean_nul, collapse_newlines, P.strip, empty_if_null)
+
+
 def clean(c: Column) -> Column:
-    """All cleaning steps in order; null comes out empty."""
-    for step in (clean_symbol_lines, clean_page_markers, clean_images, clean_tags, clean_nul, collapse_newlines, P.strip):
+    for step in CLEAN:
         c = step(c)
-    return F.coalesce(c, F.lit(""))
+    return c
+
+
+def staged(df: DataFrame, column: str, *steps: Callable[[Column], Column]) -> DataFrame:
+    """The steps on one column, each in a projection of its own.
+
+    A step may use its input more than once (is it ASCII? then as it is, else ...). As one nested expression that would
+    compute all steps before it once more per use; Catalyst leaves projections apart where merging would do that.
+    """
+    for step in steps:
+        df = df.withColumn(column, step(F.col(column)))
+    return df
 
 
 @F.pandas_udf(T.StringType())
@@ -76,7 +94,11 @@ def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(c, P.SPACES, " ")
 
 
+#: The normalisation, step by step.
+NORMALISE = (nfkc, strip_invisible, ligatures, dehyphenate, collapse_spaces, collapse_newlines, P.strip)
+
+
 def normalise(c: Column) -> Column:
-    for step in (nfkc, strip_invisible, ligatures, dehyphenate, collapse_spaces, collapse_newlines, P.strip):
+    for step in NORMALISE:
         c = step(c)
     return c

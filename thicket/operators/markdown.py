@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from thicket.functions import patterns as P
-from thicket.functions.text import clean
+from thicket.functions.text import CLEAN, staged
 
 # What a heading, a table row and a separator are, and how a context line reads.
 HEADING = rf"(?d)^(#{{1,6}}){P.SPACE}+(.*)$"
@@ -226,4 +226,4 @@ def chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, overlap:
 
 def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, markdown): cleaned and with headings propagated, as the ingestion does before it splits."""
-    return propagate(df.select(key, clean(F.col(text)).alias("__clean")), key, "__clean").select(key, "markdown")
+    return propagate(staged(df.select(key, F.col(text).alias("__clean")), "__clean", *CLEAN), key, "__clean")

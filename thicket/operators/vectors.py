@@ -55,17 +55,14 @@ def embed(df: DataFrame, text: str, embedder: Embedder, batch: int = EMBED_BATCH
 def hash_embedding(df: DataFrame, key: str, text: str, out: str = "embedding", dim: int = 64) -> DataFrame:
     """(key, out), the offline default: signed feature hashing of the words (by MD5), scaled to length one; zeros for no words.
 
-    Words are added up per key on the map side, a column per value of the vector, so a text crosses the network as one
-    row of sums. Null texts have no row; rows that repeat a key are embedded together.
+    Words are added up per key and value of the vector on the map side, so a text crosses the network as a few sums. Null
+    texts have no row; rows that repeat a key are embedded together.
     """
     base = df.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.array(F.lit(None).cast("string")))).alias("w"))
     h = base.select(key, F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long").alias("h"))
     slot, sign = F.floor(F.col("h") / 2) % dim, F.when(F.col("h") % 2 == 0, 1).otherwise(-1)
-    if dim <= 128:
-        summed = h.groupBy(key).agg(*[F.coalesce(F.sum(F.when(slot == i, sign)), F.lit(0)).alias(f"__s{i}") for i in range(dim)]).select(key, F.array(*[f"__s{i}" for i in range(dim)]).alias("__s"))
-    else:
-        per = h.groupBy(key, slot.alias("__i")).agg(F.sum(sign).alias("__x")).groupBy(key).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("__i", "__x")), lambda e: e["__i"].isNotNull())).alias("__m"))
-        summed = per.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("__m", i.cast("long")), F.lit(0))).alias("__s"))
+    per = h.groupBy(key, slot.alias("__i")).agg(F.sum(sign).alias("__x")).groupBy(key).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("__i", "__x")), lambda e: e["__i"].isNotNull())).alias("__m"))
+    summed = per.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("__m", i.cast("long")), F.lit(0))).alias("__s"))
     n = summed.withColumn("__n", F.sqrt(F.aggregate("__s", F.lit(0.0), lambda a, x: a + x * x)))
     return n.select(key, F.transform("__s", lambda x: F.when(F.col("__n") > 0, x / F.col("__n")).otherwise(F.lit(0.0))).alias(out))
 

@@ -12,6 +12,7 @@ from thicket.functions import patterns as P
 from thicket.functions import redaction, text
 from thicket.operators import changes, gates, markdown, retrieval, vectors
 from thicket.plans.oracle import SQL
+from thicket.session import spread
 from thicket.sources.tables import table
 
 __all__ = ["QUERIES", "SQL"]
@@ -24,11 +25,11 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "loaded_docs").select("load_id", F.col("markdown_content").alias("t"))
 
 
-def _on_text(step: Callable, null_too: bool = False) -> Query:
-    """A text step over all loaded documents, with the hash of what comes out (texts of any length compare by it)."""
+def _on_text(*steps: Callable, null_too: bool = False) -> Query:
+    """Text steps over all loaded documents."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        out = _docs(s, d).select("load_id", step(F.col("t")).alias("text"))
+        out = text.staged(spread(_docs(s, d)), "t", *steps).withColumnRenamed("t", "text")
         return out if null_too else out.where(F.col("text").isNotNull())
 
     return run
@@ -213,14 +214,14 @@ def chunk_ids(s: SparkSession, d: str) -> DataFrame:
 def preprocess_full(s: SparkSession, d: str) -> DataFrame:
     names = {k: [r["name"] for r in table(s, d, "known_names").where(F.col("kind") == k).collect()] for k in ("given", "family")}  # a fixed list
     gaz = redaction.Gazetteer(names["given"], names["family"])
-    return _docs(s, d).select("load_id", redaction.redact(text.normalise(text.clean(F.col("t"))), gaz).alias("text"))
+    return text.staged(spread(_docs(s, d)), "t", *text.CLEAN, *text.NORMALISE, *redaction.steps(gaz), text.empty_if_null).withColumnRenamed("t", "text")
 
 
 # Embedding and search.
 
 
 def hash_embedding(s: SparkSession, d: str) -> DataFrame:
-    e = vectors.hash_embedding(table(s, d, "chunks"), "row_id", "content_to_embed", dim=DIM).select("row_id", F.posexplode("embedding").alias("slot", "w"))
+    e = vectors.hash_embedding(spread(table(s, d, "chunks").select("row_id", "content_to_embed")), "row_id", "content_to_embed", dim=DIM).select("row_id", F.posexplode("embedding").alias("slot", "w"))
     return e.where("w <> 0").select("row_id", "slot", F.round("w", 9).alias("weight"))
 
 
@@ -301,8 +302,8 @@ QUERIES: dict[str, Query] = {
     "ledger_lookup": ledger_lookup, "ledger_upsert": ledger_upsert, "ledger_delete": ledger_delete, "ledger_names": ledger_names,
     "vector_upsert": vector_upsert, "vector_delete": vector_delete, "verify_sample": verify_sample, "verify_all": verify_all,
     "clean_symbol_lines": _on_text(text.clean_symbol_lines), "clean_page_markers": _on_text(text.clean_page_markers), "clean_images": _on_text(text.clean_images), "clean_tags": _on_text(text.clean_tags), "clean_nul": _on_text(text.clean_nul),
-    "collapse_newlines": _on_text(text.collapse_newlines), "strip_text": _on_text(P.strip), "clean_full": _on_text(text.clean, null_too=True),
-    "nfkc": _on_text(text.nfkc), "strip_invisible": _on_text(text.strip_invisible), "ligatures": _on_text(text.ligatures), "dehyphenate": _on_text(text.dehyphenate), "collapse_spaces": _on_text(text.collapse_spaces), "normalise_full": _on_text(text.normalise),
+    "collapse_newlines": _on_text(text.collapse_newlines), "strip_text": _on_text(P.strip), "clean_full": _on_text(*text.CLEAN, null_too=True),
+    "nfkc": _on_text(text.nfkc), "strip_invisible": _on_text(text.strip_invisible), "ligatures": _on_text(text.ligatures), "dehyphenate": _on_text(text.dehyphenate), "collapse_spaces": _on_text(text.collapse_spaces), "normalise_full": _on_text(*text.NORMALISE),
     "pii_email": _on_text(redaction.redact_email), "pii_ssn": _on_text(redaction.redact_ssn), "pii_phone": _on_text(redaction.redact_phone), "pii_card": _on_text(redaction.redact_card), "preprocess_full": preprocess_full,
     "md_lines": md_lines, "md_headings": md_headings, "breadcrumbs": breadcrumbs, "md_blocks": md_blocks, "propagate_headers": propagate_headers,
     "md_segments": md_segments, "md_tables": md_tables, "table_columns": table_columns, "table_summary": table_summary, "text_chunks": text_chunks, "chunk_ids": chunk_ids, "has_code_block": has_code_block, "chunk_metadata": chunk_metadata,

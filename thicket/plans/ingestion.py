@@ -12,8 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.functions.redaction import Recogniser, redact
-from thicket.functions.text import clean, normalise
+from thicket.functions import redaction
+from thicket.functions.redaction import Recogniser
+from thicket.functions.text import CLEAN, NORMALISE, empty_if_null, staged
 from thicket.operators import changes, gates, markdown, vectors
 from thicket.plans.errors import stage
 from thicket.session import cut
@@ -80,9 +81,8 @@ class Ingestion:
         raise AssertionError("unreachable")
 
     def _split(self, docs: DataFrame) -> DataFrame:
-        text = F.col("markdown_content")
-        text = redact(normalise(clean(text)), self.recogniser) if self.normalise_and_redact else clean(text)
-        enriched = markdown.propagate(docs.select("file_name", text.alias("t")), "file_name", "t")
+        steps = [*CLEAN, *NORMALISE, *redaction.steps(self.recogniser), empty_if_null] if self.normalise_and_redact else CLEAN
+        enriched = markdown.propagate(staged(docs.select("file_name", F.col("markdown_content").alias("t")), "t", *steps), "file_name", "t")
         return markdown.chunks(enriched, "file_name", "markdown", summariser=self.summariser)
 
     def _embed(self, chunks: DataFrame) -> DataFrame:
