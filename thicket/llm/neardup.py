@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thicket.llm.unify import consistent_form
-from thicket.session import cut
+from thicket.session import cut, spread
 
 SLOTS, PER_MASK = 60, 3
 MASKS = SLOTS // PER_MASK
@@ -275,6 +275,7 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str | None = No
     processed whole. An empty table gives empty results. Other columns are not read.
     """
     base = df.select(F.col(f"`{row_id}`").cast("long").alias("row_id"), (F.coalesce(F.col(f"`{kind}`"), F.lit(False)) if kind else F.lit(False)).cast("int").alias("kind"), F.col(f"`{text}`").alias("t")).where("row_id is not null and t <> ''")
+    base = spread(base)
     common = common_words(base, "t")
     form = consistent_form(base, ["row_id", "kind"], "t")
     schema = "row_id long, kind int, alt int, digest binary, nodes array<long>, rank long, rest long, bag binary"
@@ -283,14 +284,14 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str | None = No
     members = rows.where("alt = 0").select("row_id", "kind", "digest").distinct().withColumn("rep", F.min("row_id").over(Window.partitionBy("kind", "digest")))
     flat = reps.select(F.col("row_id").alias("id"), F.explode("nodes").alias("node"), "rank", "rest")
     hot = flat.groupBy("node").count().where(F.col("count") > node_rows).select("node", F.ceil(F.col("count") / node_rows).cast("int").alias("n"))
-    spread = (
+    placed = (
         flat.join(hot, "node", "left")
         .withColumn("n", F.coalesce("n", F.lit(1)))
         .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select("node", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "rank", "rest")
     )
-    found = spread.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", "rank").mapInPandas(_search(radius), "a long, b long").distinct()
+    found = placed.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", "rank").mapInPandas(_search(radius), "a long, b long").distinct()
     bag = rows.where("alt = 0").select("row_id", "bag").dropDuplicates(["row_id"])
     both = found.join(bag.select(F.col("row_id").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag.select(F.col("row_id").alias("b"), F.col("bag").alias("bag_b")), "b")
     links = both.mapInPandas(_verify(threshold), "a long, b long, similarity double")

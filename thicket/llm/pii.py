@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.lookalikes import single_map
-from thicket.session import cut
+from thicket.session import cut, spread
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Larger first where spans of equal probability overlap.
@@ -376,7 +376,7 @@ def spans(df: DataFrame, keys: list[str], text: str, names: DataFrame, threshold
     if len(listed) > 200_000:
         raise ValueError("the gazetteer is too large to be shipped to every task")
     ex = Extractor([r["name"] for r in listed if r["kind"] == "given"], [r["name"] for r in listed if r["kind"] == "family"])
-    base = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__t")).where("__t <> ''")
+    base = spread(df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("__t")).where("__t <> ''"))
     kinds = ", ".join(f"`{k}` {base.schema[k].dataType.simpleString()}" for k in keys)
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thicket.session import cut
+from thicket.session import cut, spread
 
 COVER, LONG, HEAD = 0.9, 10, 20_000
 _STOP = r"[.!?]+([ \t\n\f\r]|\z)|\n[ \t\n\f\r]*\n|\n[ \t\n\f\r]*[-*#0-9]"
@@ -31,7 +31,7 @@ def measures(df: DataFrame, key: str, text: str) -> DataFrame:
     rank; coverage is the logarithm of the coverage rank. Null and empty texts and texts without letters have no row.
     Rows that repeat an id are taken together. Texts are taken whole. An empty table gives no rows.
     """
-    base = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).where("doc_id is not null").where(F.col("t").rlike(r"\p{L}"))
+    base = spread(df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("t")).where("doc_id is not null").where(F.col("t").rlike(r"\p{L}")))
     sentences = F.size(F.filter(F.split("t", _STOP), lambda x: x.rlike(r"\p{L}")))
     counted = base.select("doc_id", F.greatest(sentences, F.lit(1)).alias("s"), "t")  # below the explosion: once per text
     words = counted.select("doc_id", "s", F.explode(F.filter(F.split(F.lower("t"), r"[^\p{L}]+"), lambda w: w != "")).alias("w"))

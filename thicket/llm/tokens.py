@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thicket.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the rank file. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,5 +41,5 @@ def token_count(text: Column | str, path: str = VOCABULARY) -> Column:
 
 def sized(df: DataFrame, key: str, text: str, *others: str, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens, others...) of the rows with a text; rows of no tokens drop out, as they take no room."""
-    base = df.where(F.col(f"`{text}`").isNotNull())
+    base = spread(df.select(key, text, *others).where(F.col(f"`{text}`").isNotNull()))
     return base.select(F.col(f"`{key}`").alias("doc_id"), token_count(F.col(f"`{text}`"), path).alias("tokens"), *others).where("tokens > 0")

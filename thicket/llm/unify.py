@@ -87,7 +87,8 @@ def consistent_form(df: DataFrame, key: list[str], text: str, out: str = "canoni
     plain = plain_one.select(*back, F.regexp_replace("__t", _CONTROL, "").alias(out))
 
     pieces, cyr, grk, cluster = _patterns()
-    tricky = base.where(F.col("__t").rlike(r"[^\x00-\x7F]")).select(*names, F.xxhash64("__t").alias("__h"), F.regexp_replace("__t", _CONTROL, "").alias("__t")).repartition(*names, "__h")
+    parts_n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: small in bytes, the texts are large once exploded
+    tricky = base.where(F.col("__t").rlike(r"[^\x00-\x7F]")).select(*names, F.xxhash64("__t").alias("__h"), F.regexp_replace("__t", _CONTROL, "").alias("__t")).repartition(parts_n, *names, "__h")
 
     def element(p: Column) -> Column:
         ctx = F.when(~p.rlike(r"[^\x00-\x7F]") & ~p.rlike("^.$"), F.lit("run")).when(p.rlike(cyr), F.lit("cyrillic")).when(p.rlike(grk), F.lit("greek")).when(p.rlike(cluster), F.lit("cluster")).otherwise(F.lit("latin"))
