@@ -69,6 +69,22 @@ def test_class_of_near_copies_that_is_a_third_of_all_rows(spark):
     assert len(want) > 40_000 and got <= want and len(got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("edits", [(5, 6), (8, 12)])
+def test_hot_class_with_many_edits(spark, edits):
+    """A third of all rows are edited copies of one text: what they share is common, their edits are not."""
+    rng = random.Random(17)
+    base, rows = [f"b{k}" for k in range(70 if edits[1] < 8 else 140)], []
+    for i in range(450):
+        own = list(base) if i % 3 == 0 else words(70, rng)
+        if i % 3 == 0:
+            for k in rng.sample(range(len(own)), rng.randint(*edits)):
+                own[k] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own), False))
+    want = brute(rows, 0.7)
+    got = {tuple(r) for r in N.pairs(run(spark, rows)).collect()}
+    assert len(want) > 2_000 and got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_classes(spark):
     rows = corpus(8)
     links = run(spark, rows)
@@ -99,6 +115,16 @@ def test_repeats_count(spark):
     assert {tuple(r) for r in N.pairs(run(spark, rows)).collect()} == {(1, 2)}
 
 
+def test_counts_never_drop_a_linked_pair():
+    rng = random.Random(9)
+    rows = corpus(4) + [(10_000 + n, "a " * n + " ".join(words(20, rng)), False) for n in (10, 14, 15, 16, 20, 300, 301)]
+    _, e, row = N.bags([t for _, t, _ in rows])
+    c = N.counts(e, np.flatnonzero(np.r_[True, row[1:] != row[:-1]]))
+    x, y = np.triu_indices(len(rows), 1)
+    may = {(rows[i][0], rows[j][0]) for i, j, m in zip(x, y, N.may_agree(c, x, y, 0.7)) if m}
+    assert brute([(i, t, False) for i, t, _ in rows], 0.7) <= {(min(p), max(p)) for p in may} and len(may) < len(x) / 10
+
+
 def test_gray_order():
     x = np.arange(1 << 12, dtype=np.uint64)
     g = N.gray_code(x)

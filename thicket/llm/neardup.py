@@ -1,14 +1,17 @@
 """Problem 1: near-duplicate records, by a Gray-order hierarchical index over similarity-preserving fingerprints.
 
 Fingerprint. Every row's bag of words becomes 60 slots of one byte, each the least element of the bag under one random
-order (consistent weighted sampling: a word that at least one row in a hundred holds weighs a tenth, so that rows don't
-meet through the words everybody uses). Two slots agree with a probability equal to the weighted similarity.
+order. All words weigh alike, however many rows hold them, so two slots agree with a probability equal to the multiset
+Jaccard similarity itself (weights would let a pair of similarity 0.7 fall to any value, when a class of near-copies makes
+what its members share common). What recall rests on, masks and radius, so follows from the threshold for every pair.
 
 Index. An upper node of the index is a bit pattern shared under a mask: 20 masks of three slots each. Rows below a node
 are sorted by the Gray rank of their residual code (two bits of every slot, 120 bits); runs of that order form lower
 nodes, which hold the bits common to all below (AND/OR masks). Searching a node with itself descends pairs of lower
 nodes, adding up the differences of the bits that are fixed on both sides, and drops a pair of whole groups as soon as
-the sum exceeds the radius. Pairs within the radius are checked against the exact multiset Jaccard similarity.
+the sum exceeds the radius. Pairs within the radius must pass a bound that no linked pair fails: the words' counts in 64
+bins, which travel with the rows, allow at most so many words in common. What is left is checked against the exact
+multiset Jaccard similarity.
 
 Partitioning. Exact copies (equal bags) are collapsed to a representative first. Nodes are spread by hash; a node with
 more rows than ``node_rows`` is cut into blocks, and every pair of blocks is a task of its own, so that a pattern
@@ -32,15 +35,11 @@ from thicket.session import cut, spread
 
 SLOTS, PER_MASK = 60, 3
 MASKS = SLOTS // PER_MASK
-#: Radius in the 120-bit residual code. Pairs of weighted similarity 0.6 differ in 24 bits, give or take 5.
-RADIUS = 40
-#: A word is common from this share of the rows on; there are at most (words of a row / COMMON) such words.
-COMMON, COMMON_WEIGHT = 0.01, 0.1
-#: Rows that a word must at least be in to count as common: in a small table, copies alone would make it so.
-SUPPORT = 100
-#: Rows of which this share of words is common are indexed a second time with all words alike. In a class of near-copies
-#: that holds a large part of all rows, what they share is common, and only their differences would weigh.
-MOSTLY_COMMON = 0.93
+#: Radius in the 120-bit residual code. Pairs of similarity 0.7 differ in 18 bits, give or take 4.6.
+RADIUS = 34
+#: Bins of the counts of words, of four bits each; 15 stands for 15 or more.
+BINS = 64
+_COUNTS = ["c0", "c1", "c2", "c3"]
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LEAF = 16
@@ -81,16 +80,13 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, _mix(h + occ * np.uint64(0x9E3779B97F4A7C15)), row
 
 
-def slots(e: np.ndarray, row: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have words, and their slots (rows x SLOTS bytes). ``common`` tells which elements weigh less."""
+def slots(e: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have words, and their slots (rows x SLOTS bytes)."""
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    weight = np.where(common, 1 / COMMON_WEIGHT, 1.0)
     out = np.empty((len(starts), SLOTS), np.uint8)
     seeds = _mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     for j in range(SLOTS):
-        u = (_mix(e ^ seeds[j]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
-        low = np.minimum.reduceat(-np.log(u) * weight, starts)
-        out[:, j] = _mix(low.view(np.uint64)) & np.uint64(0xFF)
+        out[:, j] = _mix(np.minimum.reduceat(_mix(e ^ seeds[j]), starts)) & np.uint64(0xFF)
     return row[starts], out
 
 
@@ -102,45 +98,54 @@ def residual(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (two[:, :half] << shift).sum(1, dtype=np.uint64), (two[:, half:] << shift).sum(1, dtype=np.uint64)
 
 
-def _fingerprint(common: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 1500):
-                pdf = whole.iloc[at : at + 1500]
-                h, e, row = bags(pdf["canonical"].tolist())
-                if not len(h):
-                    continue
-                ends = np.r_[np.flatnonzero(row[1:] != row[:-1]) + 1, len(row)]
-                starts = np.r_[0, ends[:-1]]
-                own = [np.sort(e[a:b]).tobytes() for a, b in zip(starts, ends)]
-                digest = [hashlib.md5(x).digest() for x in own]
-                often = np.isin(h, common)
-                share = np.add.reduceat(often.astype(float), starts) / (ends - starts)
-                for alt in (0, 1):
-                    pick = np.ones(len(starts), bool) if not alt else share >= MOSTLY_COMMON
-                    if not pick.any():
-                        continue
-                    use = np.repeat(pick, ends - starts)
-                    rows, s = slots(e[use], row[use], often[use] & (not alt))
-                    r1, r2 = residual(s)
-                    kind = pdf["kind"].to_numpy()[rows].astype(np.int64)
-                    three = s.reshape(len(s), MASKS, PER_MASK).astype(np.int64)
-                    nodes = ((kind[:, None] + 2 * alt) << 32) | (np.arange(MASKS) << 24) | (three[:, :, 0] << 16) | (three[:, :, 1] << 8) | three[:, :, 2]
-                    at_ = np.flatnonzero(pick)
-                    yield pd.DataFrame(
-                        {
-                            "row_id": pdf["row_id"].to_numpy()[rows],
-                            "kind": kind.astype(np.int32),
-                            "alt": np.int32(alt),
-                            "digest": [digest[i] for i in at_],
-                            "nodes": list(nodes),
-                            "rank": gray_rank(r1).astype(np.int64),
-                            "rest": r2.astype(np.int64),
-                            "bag": [own[i] for i in at_] if not alt else None,
-                        }
-                    )
-
-    return run
+def counts(e: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Words of every row in BINS bins, up to 15 each, in four words of 64 bits."""
+    at = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(e)]))
+    n = np.minimum(np.bincount(at * BINS + (e % np.uint64(BINS)).astype(np.int64), minlength=len(starts) * BINS), 15).astype(np.uint8).reshape(-1, BINS)
+    return np.ascontiguousarray(n[:, ::2] | (n[:, 1::2] << 4)).view(np.int64)
+
+
+def may_agree(c: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows may reach the threshold by their counts; false only where they can't."""
+    b = np.ascontiguousarray(c).view(np.uint8)
+    out = np.empty(len(x), bool)
+    for at in range(0, len(x), 50_000):
+        u, v = b[x[at : at + 50_000]], b[y[at : at + 50_000]]
+        low, high = np.minimum(u & 15, v & 15), np.minimum(u >> 4, v >> 4)
+        both = low.sum(1, dtype=np.int64) + high.sum(1, dtype=np.int64)
+        every = sum(z.sum(1, dtype=np.int64) for z in (u & 15, u >> 4, v & 15, v >> 4)) - both
+        out[at : at + 50_000] = (both >= threshold * every - 1e-6) | (low == 15).any(1) | (high == 15).any(1)
+    return out
+
+
+def _fingerprint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for whole in batches:
+        for at in range(0, len(whole), 1500):
+            pdf = whole.iloc[at : at + 1500]
+            h, e, row = bags(pdf["canonical"].tolist())
+            if not len(h):
+                continue
+            ends = np.r_[np.flatnonzero(row[1:] != row[:-1]) + 1, len(row)]
+            starts = np.r_[0, ends[:-1]]
+            own = [np.sort(e[a:b]).tobytes() for a, b in zip(starts, ends)]
+            rows, s = slots(e, row)
+            r1, r2 = residual(s)
+            c = counts(e, starts)
+            kind = pdf["kind"].to_numpy()[rows].astype(np.int64)
+            three = s.reshape(len(s), MASKS, PER_MASK).astype(np.int64)
+            nodes = (kind[:, None] << 32) | (np.arange(MASKS) << 24) | (three[:, :, 0] << 16) | (three[:, :, 1] << 8) | three[:, :, 2]
+            yield pd.DataFrame(
+                {
+                    "row_id": pdf["row_id"].to_numpy()[rows],
+                    "kind": kind.astype(np.int32),
+                    "digest": [hashlib.md5(x).digest() for x in own],
+                    "nodes": list(nodes),
+                    "rank": gray_rank(r1).astype(np.int64),
+                    "rest": r2.astype(np.int64),
+                    **{name: c[:, k] for k, name in enumerate(_COUNTS)},
+                    "bag": own,
+                }
+            )
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -184,10 +189,11 @@ def search_node(r1: np.ndarray, r2: np.ndarray, radius: int) -> tuple[np.ndarray
     return i[near], j[near]
 
 
-def _search(radius: int):
-    """Partitions sorted by node, block pair and Gray rank -> pairs within the radius."""
+def _search(radius: int, threshold: float):
+    """Partitions sorted by node, block pair and Gray rank -> pairs within the radius that may reach the threshold."""
+    columns = ("node", "bi", "bj", "blk", "id", "rank", "rest", *_COUNTS)
 
-    def pairs(node, bi, bj, blk, ids, rank, rest):
+    def pairs(node, bi, bj, blk, ids, rank, rest, *words):
         new = np.r_[True, (node[1:] != node[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]
         starts = np.flatnonzero(new)
         size = np.diff(np.r_[starts, len(node)])
@@ -208,7 +214,9 @@ def _search(radius: int):
             return None
         x, y = np.concatenate(left), np.concatenate(right)
         cross = (bi[x] == bj[x]) | (blk[x] != blk[y])
-        a, b = ids[x[cross]], ids[y[cross]]
+        x, y = x[cross], y[cross]
+        may = may_agree(np.stack(words, 1), x, y, threshold)
+        a, b = ids[x[may]], ids[y[may]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,9 +231,9 @@ def _search(radius: int):
             cutoff = int(np.argmax(own))
             carry = pdf.iloc[cutoff:]
             head = pdf.iloc[:cutoff]
-            if len(head) and (out := pairs(*(head[c].to_numpy() for c in ("node", "bi", "bj", "blk", "id", "rank", "rest")))) is not None:
+            if len(head) and (out := pairs(*(head[c].to_numpy() for c in columns))) is not None:
                 yield out
-        if carry is not None and len(carry) and (out := pairs(*(carry[c].to_numpy() for c in ("node", "bi", "bj", "blk", "id", "rank", "rest")))) is not None:
+        if carry is not None and len(carry) and (out := pairs(*(carry[c].to_numpy() for c in columns))) is not None:
             yield out
 
     return run
@@ -247,18 +255,6 @@ def _verify(threshold: float):
     return run
 
 
-def common_words(df: DataFrame, text: str) -> np.ndarray:
-    """Hashes of the words that at least COMMON of all rows hold, counted over all rows. Words of all rows together,
-    divided by COMMON times the rows, bounds how many there are."""
-    rows = df.count()
-    if not rows:
-        return np.zeros(0, np.uint64)
-    words = df.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("w"))
-    often = words.groupBy("w").count().where(F.col("count") >= max(SUPPORT, COMMON * rows)).where("w <> ''")
-    found = sorted(r["w"] for r in often.select("w").toLocalIterator())
-    return pd.util.hash_array(np.array(found, dtype=object), categorize=False) if found else np.zeros(0, np.uint64)
-
-
 class Links:
     """members: (row_id, rep) of every row with words; links: (a, b, similarity) of linked representatives, a < b."""
 
@@ -276,23 +272,22 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str | None = No
     """
     base = df.select(F.col(f"`{row_id}`").cast("long").alias("row_id"), (F.coalesce(F.col(f"`{kind}`"), F.lit(False)) if kind else F.lit(False)).cast("int").alias("kind"), F.col(f"`{text}`").alias("t")).where("row_id is not null and t <> ''")
     base = spread(base)
-    common = common_words(base, "t")
     form = consistent_form(base, ["row_id", "kind"], "t")
-    schema = "row_id long, kind int, alt int, digest binary, nodes array<long>, rank long, rest long, bag binary"
-    rows = cut(form.mapInPandas(_fingerprint(common), schema))
-    reps = rows.groupBy("kind", "digest", "alt").agg(F.min_by(F.struct("row_id", "nodes", "rank", "rest"), "row_id").alias("r")).select("r.*")
-    members = rows.where("alt = 0").select("row_id", "kind", "digest").distinct().withColumn("rep", F.min("row_id").over(Window.partitionBy("kind", "digest")))
-    flat = reps.select(F.col("row_id").alias("id"), F.explode("nodes").alias("node"), "rank", "rest")
+    schema = "row_id long, kind int, digest binary, nodes array<long>, rank long, rest long, c0 long, c1 long, c2 long, c3 long, bag binary"
+    rows = cut(form.mapInPandas(_fingerprint, schema))
+    reps = rows.groupBy("kind", "digest").agg(F.min_by(F.struct("row_id", "nodes", "rank", "rest", *_COUNTS), "row_id").alias("r")).select("r.*")
+    members = rows.select("row_id", "kind", "digest").distinct().withColumn("rep", F.min("row_id").over(Window.partitionBy("kind", "digest")))
+    flat = reps.select(F.col("row_id").alias("id"), F.explode("nodes").alias("node"), "rank", "rest", *_COUNTS)
     hot = flat.groupBy("node").count().where(F.col("count") > node_rows).select("node", F.ceil(F.col("count") / node_rows).cast("int").alias("n"))
     placed = (
         flat.join(hot, "node", "left")
         .withColumn("n", F.coalesce("n", F.lit(1)))
         .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("node", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "rank", "rest")
+        .select("node", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "id", "rank", "rest", *_COUNTS)
     )
-    found = placed.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", "rank").mapInPandas(_search(radius), "a long, b long").distinct()
-    bag = rows.where("alt = 0").select("row_id", "bag").dropDuplicates(["row_id"])
+    found = placed.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj", "rank").mapInPandas(_search(radius, threshold), "a long, b long").distinct()
+    bag = rows.select("row_id", "bag").dropDuplicates(["row_id"])
     both = found.join(bag.select(F.col("row_id").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag.select(F.col("row_id").alias("b"), F.col("bag").alias("bag_b")), "b")
     links = both.mapInPandas(_verify(threshold), "a long, b long, similarity double")
     return Links(members.select("row_id", "rep"), cut(links.dropDuplicates(["a", "b"])))
