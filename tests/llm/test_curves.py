@@ -53,6 +53,16 @@ def test_more_copies_than_a_window(spark):
     assert got == {(i, j) for i in range(300) for j in range(i + 1, 300)}
 
 
+def test_cluster_of_distinct_vectors(spark, monkeypatch):
+    """2,000 distinct vectors of mean cosine 0.95 overflow every window; no pair may be missing or wrong."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.standard_normal(64) + 0.23 * rng.standard_normal((2000, 64)), rng.standard_normal((1000, 64))]).astype(np.float32)
+    monkeypatch.setattr(C, "BLOCK", 1000)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<float>")
+    got = {tuple(r) for r in C.mutual(C.close_vectors(df, "id", "v")).collect()}
+    assert got == brute(x, np.arange(len(x))) and len(got) > 1000
+
+
 def test_edges(spark):
     a = [1.0] + [0.0] * 63
     b = [2.0, 0.1] + [0.0] * 62

@@ -6,7 +6,9 @@ with the rows in a window behind it (8-bit codes travel with the keys, so no joi
 partitions' borders, and the candidates of all orderings are merged and reranked with the exact cosine.
 
 Vectors stored more than once are one point of the curve, with their number of copies as weight: a third of all rows
-may hold one vector without filling a window.
+may hold one vector without filling a window. Distinct vectors can crowd one place all the same; a row with so many
+candidates that windows may have left some out (CROWDED) is compared with all rows instead, tile by tile, and gets its
+exact nearest ones. That is quadratic in the crowded rows, and nothing where there are none.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from thicket.session import cut
 
 DIMS, BITS = 10, 6
 CURVES, WINDOW = 16, 40
+#: Rows with this share of a window as candidates, over all orderings, are finished exactly.
+CROWDED = 0.5
+#: Rows of either side that a task of the exact pass compares.
+BLOCK = 16_384
 #: What 8-bit codes may lose of a cosine.
 SLACK = 0.02
 
@@ -146,14 +152,54 @@ def usable(df: DataFrame, row_id: str, vector: str, size: int) -> DataFrame:
 
 
 class Neighbours:
-    """members: (id, rep); points: (id, copies, v) of the representatives; close: (a, b, c9), a < b, cosine in 1e-9."""
+    """members: (id, rep); points: (id, copies, v) of the representatives; close: (a, b, c9), a < b, cosine in 1e-9.
+
+    Of crowded points, ``close`` has the ``k`` nearest (ties included) for certain, and not all others.
+    """
+
+    def __init__(self, members: DataFrame, points: DataFrame, close: DataFrame, k: int):
+        self.members, self.points, self.close, self.k = members, points, close, k
 
-    def __init__(self, members: DataFrame, points: DataFrame, close: DataFrame):
-        self.members, self.points, self.close = members, points, close
 
+def nearest(some: DataFrame, points: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of the rows of ``some`` with their k most similar points of a cosine of at least ``least``.
+
+    Exact, ties at the k-th place included. Both are (id, v) and laid in blocks by hash; every pair of blocks is a task.
+    """
+    rows, cols = (max(1, -(-x.count() // BLOCK)) for x in (some, points))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = some.select("id", "v", place(rows).alias("row")).select("id", "v", "row", every(cols).alias("col"))
+    c = points.select("id", "v", place(cols).alias("col")).select("id", "v", every(rows).alias("row"), "col")
+
+    def unit(vs: pd.Series) -> np.ndarray:
+        x = np.stack(vs.to_numpy()).astype(np.float64)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-def close_vectors(df: DataFrame, row_id: str, vector: str, size: int = 64, least: float = 0.9, curves: int = CURVES, window: int = WINDOW) -> Neighbours:
-    """Pairs of vectors with a cosine of at least ``least`` that some ordering brings into one window.
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((3, 0), np.int64)]
+        if len(a) and len(b):
+            y, other = unit(b["v"]), b["id"].to_numpy()
+            for at in range(0, len(a), 256):
+                own = a["id"].to_numpy()[at : at + 256]
+                s = unit(a["v"].iloc[at : at + 256]) @ y.T
+                s[own[:, None] == other] = -2
+                low = np.full(len(own), least) if len(other) <= k else np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+                i, j = np.nonzero(s >= low[:, None] - 2e-9)  # the rerank decides
+                out.append(np.stack([own[i], other[j], np.rint(s[i, j] * 1e9).astype(np.int64)]))
+        i, j, s = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": i, "b": j, "s": s})
+
+    found = q.groupBy("row", "col").cogroup(c.groupBy("row", "col")).applyInPandas(best, "a long, b long, s long")
+    n = F.row_number().over(Window.partitionBy("a").orderBy(F.col("s").desc()))
+    kth = F.max(F.when(F.col("n") == k, F.col("s"))).over(Window.partitionBy("a"))
+    kept = found.withColumn("n", n).withColumn("kth", kth).where("kth is null or s >= kth - 2")
+    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def close_vectors(df: DataFrame, row_id: str, vector: str, size: int = 64, least: float = 0.9, curves: int = CURVES, window: int = WINDOW, k: int = 10) -> Neighbours:
+    """Pairs of vectors with a cosine of at least ``least`` that some ordering brings into one window; of rows in crowded
+    places, the pairs with their ``k`` nearest.
 
     Null ids, null vectors, vectors of another length, all zero, or holding a null, NaN or infinity take no part.
     Repeated rows and equal vectors are one point. Ties keep all. An empty table gives empty results. Other columns
@@ -167,10 +213,14 @@ def close_vectors(df: DataFrame, row_id: str, vector: str, size: int = 64, least
     run, border = _windows(size, window, least - SLACK)
     swept = cut(keyed.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key").mapInPandas(run, "a long, b long, border int, side int, place int, curve int, code binary"))
     over = swept.where("a is null").groupBy("border").applyInPandas(border, "a long, b long")
-    found = swept.where("a is not null").select("a", "b").unionByName(over).where("a <> b").distinct()
+    found = cut(swept.where("a is not null").select("a", "b").unionByName(over).where("a <> b").distinct())
     vec = points.select("id", "v")
+    full = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count().where(F.col("count") >= CROWDED * window)
+    crowded = cut(vec.join(full.select("id"), "id", "left_semi"))
+    if not crowded.isEmpty():
+        found = found.unionByName(nearest(crowded, vec, k, least)).distinct()
     both = found.join(vec.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(vec.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    return Neighbours(members, points, cut(both.mapInPandas(_rerank(least), "a long, b long, c9 long")))
+    return Neighbours(members, points, cut(both.mapInPandas(_rerank(least), "a long, b long, c9 long")), k)
 
 
 def _rerank(least: float):
@@ -192,6 +242,8 @@ def mutual(found: Neighbours, k: int = 10) -> DataFrame:
     A row's place counts the rows that are strictly more similar, copies included. Cosines equal to nine places tie.
     Copies of one vector tie at the first place.
     """
+    if k > found.k:
+        raise ValueError(f"the {found.k} nearest were looked for, not {k}")
     copies = found.points.select("id", "copies")
     sided = found.close.unionByName(found.close.select(F.col("b").alias("a"), F.col("a").alias("b"), "c9"))
     weighed = sided.join(copies.select(F.col("id").alias("b"), F.col("copies").alias("nb")), "b").join(copies.select(F.col("id").alias("a"), F.col("copies").alias("na")), "a")
