@@ -79,6 +79,16 @@ def test_noise_and_repair(spark):
     assert same >= 0.99 * sum(len(c.split()) for c in clean.values())
 
 
+def test_one_long_line_in_a_scanned_document():
+    (_, text), *_ = page_doc(random.Random(2), 1)
+    address = "As Ann told the archive keeper, the tenant at 69, rue des Trois-Moulins, 99817 Pont-l'Orme moved out of the house."
+    assert len(address) > 100 and S.scanned(text) and S.scanned(f"{text}\n\n{address}\n") and S.scanned(text.replace("\n\n", f"\n\n{address}\n\n", 2))
+    clean = "\n\n".join(prose(random.Random(3), 12) for _ in range(4))
+    assert not S.scanned(clean) and not S.scanned(f"# Plan\n\nA short line\n\n- x\n- y\n\nDear all,\nhello\n\n{clean}")
+    found = S.noise(f"{text}\n\n{address}\n", S.Editor({}, {}), {"Form 9 of the central archive"})[1]
+    assert {"running", "page_no"} <= set(found.values())
+
+
 def test_decoys():
     lines = "# Plan\n\nIn all the stock came to\nTotal carton count:\n796\n\n- 3 -\nmore text\n- 4 -\nend".split("\n")
     assert S.furniture(lines, set()) == {6: "page_no", 8: "page_no"}

@@ -60,8 +60,17 @@ class _Look:
 
 
 def scanned(text: str) -> bool:
-    """Whether the prose of a document is broken into lines of a page."""
-    return not any(len(x) > 100 and not _MARKUP.match(x) for x in text.split("\n"))
+    """Whether the prose of a document is broken into lines of a page.
+
+    Prose in lines of over 100 characters is not; prose in shorter lines is where one follows another. The larger part,
+    in characters, decides, so that single long lines don't make a scanned document another.
+    """
+    lines = text.split("\n")
+    long = sum(len(x) for x in lines if len(x) > 100 and not _MARKUP.match(x))
+    if not long:
+        return True
+    short = [bool(x.strip()) and len(x) <= 100 and not _MARKUP.match(x) for x in lines]
+    return sum(len(x) for x, own, before, after in zip(lines, short, [False, *short], [*short[1:], False]) if own and (before or after)) > long
 
 
 def pattern(line: str) -> str:
@@ -446,8 +455,8 @@ def _rows_of(df: DataFrame, key: str, text: str) -> DataFrame:
 def noisy_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, noise_kind): hyphen, running, page_no and misread lines of the scanned documents.
 
-    Null and empty texts have none, nor do documents with a line of prose of over 100 characters: these are not
-    scanned. Repeated rows give their lines each. Texts are read whole. An empty table gives no rows. Other columns are
+    Null and empty texts have none, nor do documents whose prose stands mostly in lines of over 100 characters: these
+    are not scanned. Repeated rows give their lines each. Texts are read whole. An empty table gives no rows. Other columns are
     not read. A line may be of two kinds; lines count from 1.
     """
     rows = _rows_of(df, key, text)
