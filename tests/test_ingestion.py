@@ -102,6 +102,20 @@ def test_failed_reload_keeps_vectors(spark, tmp_path):
     assert Ingestion(spark, ledger, index).run(str(folder)).changes == {"modified": 1, "unchanged": 1}  # tried again next time
 
 
+@pytest.mark.parametrize("name, content, status", [("c.pdf", b"%PDF", "LOAD_FAILED"), ("empty.html", b"<p></p>", "CHUNKS_FAILED")])
+def test_deleted_files_go_when_nothing_loads(spark, tmp_path, name, content, status):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    ledger, index = store.ledger(spark, str(tmp_path / "l")), store.vector_index(spark, str(tmp_path / "i"), 64)
+    (folder / "a.html").write_text("<p>a</p>")
+    (folder / "b.html").write_text("<p>b</p>")
+    Ingestion(spark, ledger, index).run(str(folder))
+    (folder / "a.html").unlink()
+    (folder / name).write_bytes(content)
+    assert Ingestion(spark, ledger, index).run(str(folder)).status == status
+    assert rows(index) == {"b.html::1"} and [r["file_name"] for r in ledger.read().collect()] == ["b.html"]
+
+
 def test_embedding_retries_are_bounded(spark, tmp_path):
     class Never:
         def embed(self, texts):

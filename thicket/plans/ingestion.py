@@ -103,11 +103,11 @@ class Ingestion:
             todo = found.join(classed.where(F.col("change").isin("new", "modified")).select("file_name"), "file_name", "left_semi")
         stale = changes.stale_ids(classed)
         deleted = classed.where("change = 'deleted'").select("file_name")
+        if out.changes.get("deleted"):
+            with stage("delete"):  # before loading, which may end the run; the ledger comes last here too
+                self.index.write(vectors.delete(self.index.read(), stale.join(deleted, "file_name", "left_semi")))
+                self.ledger.write(changes.ledger_delete(ledger, deleted))
         if not out.changes.get("new", 0) + out.changes.get("modified", 0):
-            with stage("commit"):
-                if out.changes.get("deleted"):
-                    self.index.write(vectors.delete(self.index.read(), stale))
-                    self.ledger.write(changes.ledger_delete(ledger, deleted))
             self._step(out, "END")
             return out
         with stage("load"):
@@ -145,7 +145,7 @@ class Ingestion:
         self._step(out, "EMBEDDINGS_GENERATED")
         with stage("index"):
             loaded = docs.select("file_name")
-            gone = stale.join(loaded.unionByName(deleted), "file_name", "left_semi")  # a file that failed keeps its vectors
+            gone = stale.join(loaded, "file_name", "left_semi")  # a file that failed keeps its vectors
             self.index.write(vectors.upsert(vectors.delete(self.index.read(), gone), embedded))
             check = vectors.verify(embedded.select("chunk_id"), self.index.read(), "chunk_id", sample=None).first()
             if not check["verified"]:
@@ -154,6 +154,6 @@ class Ingestion:
         with stage("commit"):  # the ledger comes last, so a crash before it leads to the same work again
             counts = gates.chunks_per_file(embedded, now.join(loaded, "file_name", "left_semi"))
             rows = counts.select("file_name", "content_hash", F.lit("indexed").alias("status"), F.col("chunk_count").cast("int").alias("chunk_count"), F.current_timestamp().alias("last_indexed_at"))
-            self.ledger.write(changes.ledger_upsert(changes.ledger_delete(ledger, deleted), rows))
+            self.ledger.write(changes.ledger_upsert(self.ledger.read(), rows))
         self._step(out, "INDEXED")
         return out
