@@ -44,16 +44,64 @@ def test_scan_and_quarantine(spark, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    s = store.vector_index(spark, str(tmp_path / "ix"), 64)
-    assert s.read().count() == 0 and s.settings() == {"dimension": 64, "metric": "cosine"}
+    s = store.vector_index(spark, str(tmp_path / "ix"), 1)
+    assert s.read().count() == 0 and s.settings() == {"dimension": 1, "metric": "cosine"}
     row = [("a::1", "text", "t", "t", ("a", False, False, None, None), [1.0])]
     for n in range(3):
         s.write(s.read().unionByName(spark.createDataFrame(row, store.CHUNKS)))
-    assert s.read().count() == 3 and store.vector_index(spark, str(tmp_path / "ix"), 64).version() == 3
+    assert s.read().count() == 3 and store.vector_index(spark, str(tmp_path / "ix"), 1).version() == 3
     with pytest.raises(ValueError):
         store.vector_index(spark, str(tmp_path / "ix"), 65)
 
 
+@pytest.mark.parametrize("gone", ["NEXT", "CURRENT.3"])
+def test_store_survives_a_crash(spark, tmp_path, gone):
+    """Between the data and the pointer, and between the pointer and the removal of the one before."""
+    s = store.ledger(spark, str(tmp_path / "l"))
+    rec = lambda n: spark.createDataFrame([(n, "h", "indexed", 1, None)], store.LEDGER)
+    for n in ("a", "b", "c"):
+        s.change(rec(n), lambda old: old.unionByName(rec(n)))
+    if gone == "NEXT":
+        (tmp_path / "l" / "NEXT").write_text("{half")
+        (tmp_path / "l" / "v4").mkdir()
+    else:
+        (tmp_path / "l" / gone).unlink()
+    again = store.ledger(spark, str(tmp_path / "l"))
+    assert {r["file_name"] for r in again.read().collect()} == ({"a", "b", "c"} if gone == "NEXT" else {"a", "b"})
+    again.change(rec("d"), lambda old: old.unionByName(rec("d")))
+    assert {r["file_name"] for r in again.read().collect()} == ({"a", "b", "c", "d"} if gone == "NEXT" else {"a", "b", "d"})
+
+
+def test_store_is_not_created_over_data(spark, tmp_path):
+    s = store.ledger(spark, str(tmp_path / "l"))
+    s.write(spark.createDataFrame([("a", "h", "indexed", 1, None)], store.LEDGER))
+    for p in (tmp_path / "l").glob("CURRENT.*"):
+        p.unlink()
+    with pytest.raises(RuntimeError):
+        store.ledger(spark, str(tmp_path / "l"))
+
+
+def test_store_touches_named_parts_only(spark, tmp_path):
+    s = store.ledger(spark, str(tmp_path / "l"), parts=16)
+    frame = lambda names: spark.createDataFrame([(n, "h", "indexed", 1, None) for n in names], store.LEDGER)
+    s.write(frame([f"f{i}" for i in range(40)]))
+    s.change(frame(["f7"]).select("file_name"), lambda old: old.where("file_name <> 'f7'"))
+    assert {r["file_name"] for r in s.read().collect()} == {f"f{i}" for i in range(40)} - {"f7"}
+    assert len([p for p in (tmp_path / "l" / "v2").glob("part=*")]) <= 1
+    with pytest.raises(ValueError):
+        s.change(frame(["f7"]).select("file_name"), lambda old: frame([f"g{i}" for i in range(40)]))
+    assert s.read().count() == 39
+
+
+def test_vectors_of_another_dimension_are_refused(spark, tmp_path):
+    s = store.vector_index(spark, str(tmp_path / "ix"), 2)
+    row = lambda v: spark.createDataFrame([("a::1", "text", "t", "t", ("a", False, False, None, None), v)], store.CHUNKS)
+    s.write(row([1.0, 2.0]))
+    with pytest.raises(Exception, match="in an index of 2"):
+        s.write(row([1.0]))
+    assert s.read().count() == 1
+
+
 def rows(s):
     return {r["chunk_id"] for r in s.read().collect()}
 
@@ -116,6 +164,59 @@ def test_deleted_files_go_when_nothing_loads(spark, tmp_path, name, content, sta
     assert rows(index) == {"b.html::1"} and [r["file_name"] for r in ledger.read().collect()] == ["b.html"]
 
 
+def test_names_with_signs(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    ledger, index, seen = store.ledger(spark, str(tmp_path / "l")), store.vector_index(spark, str(tmp_path / "i"), 64), store.seen(spark, str(tmp_path / "s"))
+    for name in ("a+b.html", "c d.html", "e%2Bf.html", "[g]{h}.html"):
+        (folder / name).write_text(f"<p>{name}</p>")
+    run = lambda: Ingestion(spark, ledger, index, seen=seen).run(str(folder))
+    assert run().changes == {"new": 4}
+    assert rows(index) == {"a+b.html::1", "c d.html::1", "e%2Bf.html::1", "[g]{h}.html::1"}
+    assert run().changes == {"unchanged": 4}
+    (folder / "a+b.html").write_text("<p>other</p>")
+    (folder / "c d.html").unlink()
+    assert run().changes == {"unchanged": 2, "modified": 1, "deleted": 1}
+    assert {r["chunk_id"]: r["raw_payload"] for r in index.read().collect()}["a+b.html::1"] == "other"
+
+
+def test_seen_files_are_not_opened(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    ledger, index, seen = store.ledger(spark, str(tmp_path / "l")), store.vector_index(spark, str(tmp_path / "i"), 64), store.seen(spark, str(tmp_path / "s"))
+    (folder / "a.html").write_text("<p>a</p>")
+    (folder / "b.html").write_text("<p>b</p>")
+    Ingestion(spark, ledger, index, seen=seen).run(str(folder))
+    (folder / "a.html").chmod(0)  # not readable any more, unless by the superuser
+    (folder / "b.html").write_text("<p>longer</p>")
+    out = Ingestion(spark, ledger, index, seen=seen).run(str(folder))
+    assert out.changes == {"unchanged": 1, "modified": 1} and seen.read().count() == 2 and rows(index) == {"a.html::1", "b.html::1"}
+
+
+def test_a_table_that_fails_holds_up_its_file_only(spark, tmp_path):
+    from thicket.plans import providers
+
+    class Fails:
+        def summaries(self, tables):
+            if any("bad" in t for t in tables):
+                raise RuntimeError("no")
+            return [f"a summary of {len(t)}" for t in tables]
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    ledger, index = store.ledger(spark, str(tmp_path / "l")), store.vector_index(spark, str(tmp_path / "i"), 64)
+    for name in ("good", "bad"):
+        (folder / f"{name}.html").write_text(f"<p>text</p><table><tr><td>{name}</td></tr><tr><td>1</td></tr></table>")
+    providers.register("summarization", Fails)
+    try:
+        out = Ingestion(spark, ledger, index).run(str(folder))
+    finally:
+        providers.forget("summarization")
+    assert out.status == "INDEXED" and out.failed == [("bad.html", "malformed chunks")] and out.retries == {"split": 3}
+    assert rows(index) == {"good.html::1", "good.html::2"} and [r["file_name"] for r in ledger.read().collect()] == ["good.html"]
+    assert any(r["content_to_embed"].startswith("a summary of") for r in index.read().collect())
+
+
 def test_embedding_retries_are_bounded(spark, tmp_path):
     class Never:
         def embed(self, texts):

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from thicket.operators import markdown as M
 
 PROPAGATE = [
-    ("# Benefits\n## Dental\nCovers routine checkups.", "# Benefits\n\n## Dental\n\n**[Context: Benefits > Dental]**\nCovers routine checkups."),
-    ("# Section A\n## Sub A\nText A\n# Section B\nText B", "# Section A\n\n## Sub A\n\n**[Context: Section A > Sub A]**\nText A\n\n# Section B\n\n**[Context: Section B]**\nText B"),
-    ("# Introduction\nSome intro text.", "# Introduction\n\n**[Context: Introduction]**\nSome intro text."),
+    ("# Pumps\n## Seals\n### Rings\nGrease them twice a year.", "# Pumps\n\n## Seals\n\n### Rings\n\n**[Context: Pumps > Seals > Rings]**\nGrease them twice a year."),
+    ("## Night shift\nCount the keys.\n\n# Gate\nLock it.", "## Night shift\n\n**[Context: Night shift]**\nCount the keys.\n\n# Gate\n\n**[Context: Gate]**\nLock it."),
     ("lead\n\nmore\n# A\n### C\nx\n## B\ny", "lead\nmore\n\n# A\n\n### C\n\n**[Context: A > C]**\nx\n\n## B\n\n**[Context: A > B]**\ny"),
     ("#NoSpace\n####### seven\n # indented", "#NoSpace\n####### seven\n # indented"),
     ("", ""),
@@ -105,6 +104,12 @@ def test_split_text(parts, size, overlap):
     assert at == n
 
 
+def test_split_text_leaves_out_what_is_overlap_only():
+    text = "  " + "abcdefghijklmnopqr" + "  " + " s"
+    assert [c for c in M.split_text("a" + "  " + "bcdefghijklmnopqrs" + " " + "t" + " ", 23, 2)] == ["a  bcdefghijklmnopqrs t"]
+    assert M.split_text(text, 23, 2)[-1].endswith("s") and M.split_text("   ", 2, 1) == []
+
+
 def test_chunk_sizes(spark):
     random.seed(1)
     text = " ".join("".join(random.choices("abcdef", k=random.randint(1, 12))) for _ in range(900))

@@ -84,6 +84,20 @@ def test_answers(spark):
     assert out == {1: ("a: one", None), 2: ("b: ", None), 3: (None, "RuntimeError: no")}
 
 
+def test_grader(spark):
+    class Long:
+        def relevant(self, questions, texts):
+            if "fail" in questions:
+                raise RuntimeError("no")
+            return [len(t) > 2 for t in texts]
+
+    hits = spark.createDataFrame([(1, 0.1, "q", "text"), (2, 0.9, "q", "t"), (3, 0.9, "fail", "t")], "id long, score double, question string, text string").repartition(3, "id")
+    per = lambda **kw: {r["id"]: r["relevant"] for r in retrieval.grade_texts(hits, "question", "text", **kw).collect()}
+    assert per()[1] is False and per()[2] is True
+    assert {r["id"]: r["relevant"] for r in retrieval.grade_texts(hits.where("question = 'q'"), "question", "text", Long()).collect()} == {1: True, 2: False}
+    assert {r["id"]: r["relevant"] for r in retrieval.grade_texts(hits.where("question = 'fail'"), "question", "text", Long()).collect()} == {3: True}
+
+
 def test_providers():
     import pytest
 
@@ -92,6 +106,8 @@ def test_providers():
     assert providers.provider("grading") is None
     providers.register("grading", lambda: "service")
     assert providers.provider("grading") == "service"
+    providers.forget("grading")
+    assert providers.provider("grading") is None
     with pytest.raises(ValueError):
         providers.provider("painting")
     assert providers.text_of([{"text": " a"}, "x", {"text": "b "}, {}]) == "ab" and providers.text_of(" s ") == "s"

@@ -138,15 +138,31 @@ def table_summary(table: Column) -> Column:
     return F.concat(F.lit("Table with columns "), F.array_join(table_columns(table), ", "), F.lit("; "), rows.cast("string"), F.lit(" rows."))
 
 
+def _each(summariser: Summariser, tables: list[str]) -> list[str | None]:
+    """Summaries of a batch; where the batch fails, table by table, None for those that fail alone too."""
+    try:
+        got = list(summariser.summaries(tables))
+        if len(got) == len(tables):
+            return got
+    except Exception:  # found table by table
+        pass
+    if len(tables) < 2:
+        return [None] * len(tables)
+    return [x for t in tables for x in _each(summariser, [t])]
+
+
 def summarise(df: DataFrame, table: str, out: str, summariser: Summariser | None = None) -> DataFrame:
-    """Adds a summary of the tables: the offline default, or a summariser's, loaded once per task and called by batch."""
+    """Adds a summary of the tables: the offline default, or a summariser's, loaded once per task and called by batch.
+
+    A table that fails has a null summary, and holds up no other.
+    """
     if summariser is None:
         return df.withColumn(out, table_summary(F.col(table)))
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            got = iter(summariser.summaries([t for t in s if t is not None]))
+            got = iter(_each(summariser, [t for t in s if t is not None]))
             yield pd.Series([None if t is None else next(got) for t in s], dtype=object)
 
     return df.withColumn(out, run(F.col(table)))
@@ -156,7 +172,8 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
     """Chunks of at most ``size`` characters: cut at the first separator that occurs, pieces over the size at the next one.
 
     A separator stays at the start of the piece after it. Pieces are gathered up to the size; a chunk begins with the last
-    pieces of the one before, up to ``overlap`` characters. Chunks are stripped, empty ones left out.
+    pieces of the one before, up to ``overlap`` characters. Chunks are stripped; those that would hold nothing but blanks
+    beside their overlap are left out.
     """
     at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
     sep, finer = separators[at], separators[at + 1 :]
@@ -167,11 +184,13 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
         pieces = list(text)
     out: list[str] = []
     held: list[str] = []
-    length = 0
+    length, fresh = 0, False
 
     def flush() -> None:
-        if chunk := "".join(held).strip():
-            out.append(chunk)
+        nonlocal fresh
+        if fresh:
+            out.append("".join(held).strip())
+        fresh = False
 
     for piece in pieces:
         if len(piece) > size and finer:
@@ -185,6 +204,7 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                 length -= len(held.pop(0))
         held.append(piece)
         length += len(piece)
+        fresh = fresh or not piece.isspace()
     flush()
     return out
 

@@ -8,8 +8,10 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thicket.operators.vectors import top_k
+from thicket.plans import providers
 
 #: Our choices: how many chunks are retrieved and the cosine from which one is relevant.
 K, RELEVANT = 5, 0.6
@@ -21,11 +23,40 @@ class Generator(Protocol):
     def generate(self, questions: list[str], contexts: list[str]) -> list[str]: ...
 
 
+class Grader(Protocol):
+    """Says of (question, text) pairs whether the text helps to answer the question."""
+
+    def relevant(self, questions: list[str], texts: list[str]) -> list[bool]: ...
+
+
 def grade(hits: DataFrame, least: float = RELEVANT) -> DataFrame:
-    """Adds relevant: whether a retrieved row is similar enough."""
+    """Adds relevant: whether a retrieved row is similar enough; the offline default."""
     return hits.withColumn("relevant", F.col("score") >= least)
 
 
+def grade_texts(hits: DataFrame, question: str, text: str, grader: Grader | None = None, least: float = RELEVANT) -> DataFrame:
+    """Adds relevant, said by a grader, given or registered for "grading"; by the score where there is none.
+
+    A batch that fails is graded by the score, too.
+    """
+    asked = grader or providers.provider("grading")
+    if asked is None:
+        return grade(hits, least)
+    schema = T.StructType([*hits.schema.fields, T.StructField("relevant", T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            try:
+                said = list(asked.relevant(pdf[question].tolist(), pdf[text].tolist()))
+                if len(said) != len(pdf):
+                    raise ValueError("answers are missing")
+            except Exception:  # this batch only
+                said = (pdf["score"] >= least).tolist()
+            yield pdf.assign(relevant=said)
+
+    return hits.mapInPandas(run, schema)
+
+
 def route(graded: DataFrame) -> DataFrame:
     """(query_id, best, relevant, route): generate with a relevant row, else fallback."""
     n = graded.groupBy("query_id").agg(F.max("score").alias("best"), F.sum(F.col("relevant").cast("long")).alias("relevant"))
@@ -47,11 +78,15 @@ def context(hits: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("context"))
 
 
-def answer(contexts: DataFrame, questions: DataFrame, generator: Generator, batch: int = 16) -> DataFrame:
+def answer(contexts: DataFrame, questions: DataFrame, generator: Generator | None = None, batch: int = 16) -> DataFrame:
     """(query_id, answer, error): a generator's answers to (id, question) from their contexts, batch by batch.
 
+    Without a generator, the one registered for "generation" is asked; it is an error if there is none.
     A batch that fails gives null answers with its error; queries without context are asked with an empty one.
     """
+    generator = generator or providers.provider("generation")
+    if generator is None:
+        raise ValueError("no generator is given or registered")
     asked = questions.select(F.col("id").alias("query_id"), "question").join(contexts.select("query_id", "context"), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

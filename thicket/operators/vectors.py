@@ -100,13 +100,17 @@ def verify(ids: DataFrame, index: DataFrame, order: str, key: str = "chunk_id",
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, tile: int = TILE) -> DataFrame:
     """(query_id, id, score, rank): the k rows of highest cosine for every query, ties by id; queries and corpus have (id, v).
 
-    The corpus is laid in tiles by hash, every query visits every tile, a tile keeps the k best of each query, and these are
-    merged: two shuffles, of the queries times the tiles and of k rows per query and tile. Nothing is broadcast, and a
-    task holds one tile with its queries in blocks.
+    Both sides are laid in blocks by hash, a task compares a block of queries with a tile of the corpus and keeps the k best
+    of each query, and these are merged. Three shuffles: queries times tiles, corpus times blocks of queries, and k rows per
+    query and tile. Nothing is broadcast, and a task holds one tile and one block, however many queries there are.
     """
-    tiles = max(1, -(-corpus.count() // tile))
-    c = corpus.where(usable("v", dim)).select(F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), "id", F.col("v").cast("array<double>").alias("v"))
-    q = queries.where(usable("v", dim)).select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.col("id").alias("query_id"), F.col("v").cast("array<double>").alias("v"))
+    wanted, known = queries.where(usable("v", dim)), corpus.where(usable("v", dim))
+    tiles, blocks = max(1, -(-known.count() // tile)), max(1, -(-wanted.count() // tile))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = F.col("v").cast("array<double>").alias("v")
+    c = known.select(place(tiles).alias("tile"), "id", v, every(blocks).alias("block"))
+    q = wanted.select(place(blocks).alias("block"), F.col("id").alias("query_id"), v, every(tiles).alias("tile"))
 
     def unit(vs: pd.Series) -> np.ndarray:
         x = np.stack(vs.to_numpy())
@@ -124,6 +128,6 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, tile: int = T
                 out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "id": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    found = q.groupBy("tile").cogroup(c.groupBy("tile")).applyInPandas(best, "query_id long, id long, score double")
+    found = q.groupBy("tile", "block").cogroup(c.groupBy("tile", "block")).applyInPandas(best, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

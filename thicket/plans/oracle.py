@@ -64,8 +64,9 @@ _BLOCKS = rf"""{_HEAD},
     numbered AS (SELECT *, sum(starts) OVER (PARTITION BY load_id ORDER BY pos) AS block FROM stepped),
     blk AS (SELECT load_id, block::BIGINT AS block, bool_or(is_head) AS is_head, arg_min(breadcrumb, pos) AS breadcrumb, {_strip("string_agg(line, chr(10) ORDER BY pos)")} AS body FROM numbered GROUP BY load_id, block)"""
 
-# A table as one expression: a row, a separator, rows.
-_TABLE = r"(?m)(?:^\s*\|[^\n]+\|\s*\n\s*\|[\s\:\|\-]*\|\s*\n(?:^\s*\|[^\n]+\|\s*\n?)+)"
+# What a row and a separator are; a table is a row, a separator, and rows.
+_ROW, _SEPARATOR = r"^\s*\|[^\n]+\|\s*", r"\s*\|[\s:|\-]*\|\s*"
+_TABLE = rf"(?m)(?:{_ROW}\n{_SEPARATOR}\n(?:{_ROW}\n?)+)"
 
 _SEGMENTS = rf"""
     WITH cut AS (
@@ -104,6 +105,8 @@ _INDEXED = f"SELECT d.file_name, d.content_hash, 'indexed' AS status, coalesce(l
 
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 
+_CARD = r"\b[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}\b"
+
 SQL: dict[str, str] = {
     "cdc_classify": f"{_CLASSIFY} SELECT file_name, change FROM cls",
     **{f"cdc_{x}": f"{_CLASSIFY} SELECT file_name FROM cls WHERE change = '{x}'" for x in ("new", "modified", "unchanged", "deleted")},
@@ -143,6 +146,13 @@ SQL: dict[str, str] = {
     "pii_email": _text(f"regexp_replace(markdown_content, '{_EMAIL}', '<EMAIL_ADDRESS>', 'g')"),
     "pii_ssn": _text(r"regexp_replace(markdown_content, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '<US_SSN>', 'g')"),
     "pii_phone": _text(r"regexp_replace(markdown_content, '(\+[0-9]{1,3}[ .-])?(\([0-9]{3}\) |\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b', '<PHONE_NUMBER>', 'g')"),
+    "pii_card": rf"""
+        WITH n AS (SELECT load_id, markdown_content AS t, unnest(list_distinct(regexp_extract_all(markdown_content, '{_CARD}'))) AS x FROM loaded_docs),
+        d AS (SELECT *, list_transform(list_reverse(string_split(regexp_replace(x, '[ -]', '', 'g'), '')), lambda c: c::INT) AS d FROM n),
+        good AS (SELECT load_id, x FROM d WHERE len(d) BETWEEN 13 AND 19 AND list_sum(list_transform(d, lambda c, i: CASE WHEN i % 2 = 1 THEN c WHEN c > 4 THEN 2 * c - 9 ELSE 2 * c END)) % 10 = 0),
+        per AS (SELECT load_id, list(x ORDER BY length(x) DESC, x) AS xs FROM good GROUP BY load_id)
+        SELECT load_id, CASE WHEN xs IS NULL THEN markdown_content ELSE list_reduce(list_prepend(markdown_content, xs), lambda a, x: replace(a, x, '<CREDIT_CARD>')) END AS text
+        FROM loaded_docs LEFT JOIN per USING (load_id) WHERE markdown_content IS NOT NULL""",
     "md_lines": f"{_LINES} SELECT load_id, pos, line FROM ln",
     "md_headings": f"{_HEAD} SELECT load_id, pos, level, title FROM hd",
     "breadcrumbs": f"{_HEAD} SELECT load_id, pos, breadcrumb FROM crumb",

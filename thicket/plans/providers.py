@@ -17,6 +17,11 @@ def register(use_case: str, make: Callable[[], Any]) -> None:
     _registry[use_case] = make
 
 
+def forget(use_case: str) -> None:
+    """Back to the offline default."""
+    _registry.pop(use_case, None)
+
+
 def provider(use_case: str) -> Any | None:
     """The service for a use case, or None: the engine then takes its offline default."""
     if use_case not in USE_CASES:

@@ -1,7 +1,8 @@
 """Files that arrive in a folder, ingested as they come.
 
 The file source reports new files only; changed and deleted ones are found by the batch ingestion, which every
-micro-batch runs over the whole folder (its change detection makes untouched files free of work).
+micro-batch runs over the whole folder. It hashes all files there, unless it was given a ``seen`` table: then files of the
+same length and time are listed, but not opened.
 """
 
 from __future__ import annotations
