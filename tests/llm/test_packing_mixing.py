@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from thicket.llm import mixing as M
 from thicket.llm import packing as P
@@ -65,6 +67,28 @@ def test_sainte_lague():
     assert M.sainte_lague({"a": 1}, 5, {"a": 2}) == {"a": 2} and M.sainte_lague({}, 5, {}) == {}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.0, 1.0), st.integers(0, 1_000_000)), min_size=1, max_size=8), st.floats(0.5, 1.3), st.integers(20_000, 3_000_000))
+def test_short_of(sources, every, total):
+    """Away from the limit the contest says what shares and sizes say."""
+    sum_ = sum(w for w, _ in sources) or 1.0
+    weights = {f"s{i}": w * every / sum_ for i, (w, _) in enumerate(sources)}
+    most = {f"s{i}": m for i, (_, m) in enumerate(sources)}
+    block = max(1, -(-total // 20_000))
+    for s, short in M.short_of(weights, total, most, block).items():
+        if abs(weights[s] * total - most[s]) > 0.003 * total:
+            assert short == (weights[s] * total > most[s])
+
+
+def test_slices(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("id AS doc_id", "1 + id % 37 AS tokens", "if(id % 5 = 0, 'b', 'a') AS source")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    take = lambda: sorted(map(tuple, M.mix(df, targets, shards=4, blocks=500)[0].collect()))
+    whole = take()
+    monkeypatch.setattr(M, "SLICE_ROWS", 50)
+    assert take() == whole
+
+
 def test_mix(spark):
     rng = random.Random(2)
     rows = [(i, rng.randint(5, 60), rng.choice(["big", " BIG", "Big "])) for i in range(3000)] + [(5000 + i, rng.randint(5, 60), "small") for i in range(150)] + [(7000 + i, 20, "tiny") for i in range(10)]

@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 #: Parts that a source's documents are hashed into, and blocks of the whole mixture.
 SHARDS, BLOCKS = 64, 20_000
 SEED = 17
+#: Rows of a shard's slice, give or take: what one task puts in order.
+SLICE_ROWS = 200_000
 
 
 def sainte_lague(weights: dict, seats: int, most: dict) -> dict:
@@ -36,12 +38,27 @@ def sainte_lague(weights: dict, seats: int, most: dict) -> dict:
     return won
 
 
+def short_of(weights: dict, total: float, most: dict, block: int) -> dict[str, bool]:
+    """Which sources leave the contest while their quotient is still the highest.
+
+    The contest for the blocks of the whole size, in which nobody is full, awards every source what its weight is due; a
+    source that is due more blocks than it can fill would have left at a quotient above the last one that wins a block.
+    Weights needn't add up to one: what they leave is a party of its own, what they exceed more seats.
+    """
+    every = sum(weights.values())
+    rest = {} if every >= 1 else {None: 1 - every}
+    seats = round(total * max(1.0, every) / block)
+    due = sainte_lague({**weights, **rest}, seats, {k: seats for k in (*weights, *rest)})
+    return {s: due[s] * block > most[s] for s in weights}
+
+
 def mix(sizes: DataFrame, targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(selection, shares) from (doc_id, tokens, source) and (source, target_share, max_repeats).
 
     selection: (doc_id, source, shard, tokens, copies), copies >= 1. shares: a row per target with what it has
     (available), its most (available x max_repeats), what it was given, target and actual share, and short: whether
-    its target share of the size of all documents with a source is more than its most.
+    the contest for the size of all documents with a source is due to give it more than its most (``short_of``; exact
+    but for a block, a 20,000th of the whole).
     Sources compare in lower case without outer spaces; documents with a null or empty source, or of no tokens, take
     no part; those of sources without target only count in the total. Repeated rows count each. A target listed twice
     is an error. Empty tables: no selection, shares null.
@@ -52,7 +69,7 @@ def mix(sizes: DataFrame, targets: DataFrame, shards: int = SHARDS, blocks: int
         raise ValueError("a source has two targets")
     docs = sizes.select("doc_id", F.col("tokens").cast("long").alias("tokens"), norm("source").alias("source")).where("source <> '' and tokens > 0")
     place = docs.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(shards)).cast("int"))
-    total = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
+    total, n = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     targeted = place.where(F.col("source").isin(list(wanted)))
     have = {(r["source"], r["shard"]): int(r["t"]) for r in targeted.groupBy("source", "shard").agg(F.sum("tokens").alias("t")).collect()}  # shards x sources
     block = max(1, -(-total // blocks))
@@ -69,11 +86,22 @@ def mix(sizes: DataFrame, targets: DataFrame, shards: int = SHARDS, blocks: int
             need |= {k: n * block for k, n in sainte_lague(own, q, {k: room[k] for k in own}).items()}
     spark = sizes.sparkSession
     quotas = spark.createDataFrame([(s, h, n, have[s, h]) for (s, h), n in need.items() if n], "source string, shard int, need long, held long")
-    before = F.sum("tokens").over(Window.partitionBy("source", "shard").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    run = targeted.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(quotas), ["source", "shard"])  # shards x sources rows
+    # A shard's order is cut into slices, so many that one is a task's work whatever the size of a source: a document's
+    # place is the sum of the slices before and the running sum within its own.
+    slices = max(1, -(-n // (shards * SLICE_ROWS)))
+    sliced = targeted.withColumn("slice", F.least(F.floor((F.col("order") / float(2**64) + 0.5) * slices), F.lit(slices - 1)).cast("int"))
+    own = ["source", "shard", "slice"]
+    within = F.sum("tokens").over(Window.partitionBy(*own).orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    run = sliced.withColumn("before", F.coalesce(within, F.lit(0)))
+    if slices > 1:
+        ahead = F.sum("t").over(Window.partitionBy("source", "shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sliced.groupBy(*own).agg(F.sum("tokens").alias("t")).select(*own, F.coalesce(ahead, F.lit(0)).alias("ahead"))
+        run = run.join(sums, own).withColumn("before", F.col("before") + F.col("ahead"))
+    run = run.join(F.broadcast(quotas), ["source", "shard"])  # shards x sources rows
     copies = F.floor(F.col("need") / F.col("held")) + F.when(F.col("before") < F.col("need") % F.col("held"), 1).otherwise(0)
     selection = run.withColumn("copies", copies.cast("int")).where("copies > 0").select("doc_id", "source", "shard", "tokens", "copies")
-    base = spark.createDataFrame([(s, w, m, held[s], held[s] * m, w * total > m * held[s]) for s, (w, m) in sorted(wanted.items())], "source string, target_share double, max_repeats int, available long, most long, short boolean")
+    lacks = short_of({s: w for s, (w, _) in wanted.items()}, total, {s: held[s] * m for s, (_, m) in wanted.items()}, block)
+    base = spark.createDataFrame([(s, w, m, held[s], held[s] * m, lacks[s]) for s, (w, m) in sorted(wanted.items())], "source string, target_share double, max_repeats int, available long, most long, short boolean")
     given = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("given"), F.max("copies").alias("copies"))
     all_given = given.agg(F.sum("given").alias("all"))
     shares = base.join(given, "source", "left").join(F.broadcast(all_given), F.lit(True), "left").select(  # one row
