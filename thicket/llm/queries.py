@@ -143,7 +143,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
-    return readability.levels(cut(readability.measures(table(spark, d, "documents"), "doc_id", "text")), table(spark, d, "reading_labels"))
+    return readability.levels(cut(readability.measures(table(spark, d, "documents"), "doc_id", "text", "lang")), table(spark, d, "reading_labels"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -152,26 +152,37 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_consistent_form": p5_consistent_form, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 _P9 = r"""
-    WITH docs AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '\pL')),
-    w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\pL]+')) AS w FROM docs),
-    tok AS (SELECT doc_id, w FROM w WHERE w <> ''),
-    cnt AS (SELECT w, count(*) AS n FROM tok GROUP BY w),
-    hist AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS rank FROM cnt GROUP BY n),
-    tr AS (SELECT doc_id, w, rank, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS i, count(*) OVER (PARTITION BY doc_id) AS words FROM tok JOIN cnt USING (w) JOIN hist USING (n)),
+    WITH docs AS (SELECT doc_id, text, CASE WHEN regexp_matches(lower(trim(lang)), '^[a-z][a-z]([-_]|$)') THEN substr(lower(trim(lang)), 1, 2) END AS code FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '\pL')),
+    codes AS (SELECT code, count(*) AS n FROM docs WHERE code IS NOT NULL GROUP BY code QUALIFY n >= 0.02 * sum(n) OVER ()),
+    w AS (SELECT doc_id, code, unnest(string_split_regex(lower(text), '[^\pL]+')) AS w FROM docs),
+    known AS (SELECT CASE WHEN code IN (SELECT code FROM codes) THEN code ELSE 'other' END AS language, w, count(*) AS n FROM w WHERE w <> '' AND code IS NOT NULL GROUP BY ALL),
+    top AS (SELECT language, w FROM known QUALIFY row_number() OVER (PARTITION BY language ORDER BY n DESC, w) <= 100),
+    hits AS (SELECT doc_id, language, count(*) AS n FROM w JOIN top USING (w) WHERE code IS NULL GROUP BY ALL),
+    best AS (SELECT doc_id, language FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, language) = 1),
+    told AS (
+        SELECT doc_id, text, CASE WHEN code IN (SELECT code FROM codes) THEN code WHEN code IS NOT NULL THEN 'other' ELSE coalesce(b.language, (SELECT code FROM codes ORDER BY n DESC, code LIMIT 1), 'other') END AS language
+        FROM docs LEFT JOIN best b USING (doc_id)
+    ),
+    tok AS (SELECT doc_id, language, w FROM w JOIN told USING (doc_id) WHERE w <> ''),
+    cnt AS (SELECT language, w, count(*) AS n FROM tok GROUP BY ALL),
+    hist AS (SELECT language, n, sum(count(*)) OVER (PARTITION BY language ORDER BY n DESC) AS rank FROM cnt GROUP BY language, n),
+    tr AS (SELECT doc_id, language, rank, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS i, count(*) OVER (PARTITION BY doc_id) AS words FROM tok JOIN cnt USING (language, w) JOIN hist USING (language, n)),
     sen AS (SELECT doc_id, greatest(1, len(list_filter(string_split_regex(text, '[.!?]+([ \t\n\f\r]|\z)|\n[ \t\n\f\r]*\n|\n[ \t\n\f\r]*[-*#0-9]'), lambda x: regexp_matches(x, '\pL')))) AS s FROM docs),
-    m AS (
-        SELECT doc_id, any_value(words)::BIGINT AS words, (max(rank) FILTER (i = ceil(words * 0.9::DOUBLE)))::BIGINT AS coverage_rank, round(ln((max(rank) FILTER (i = ceil(words * 0.9::DOUBLE)))::DOUBLE), 6) AS coverage,
-            round(sum(length(w))::DOUBLE / any_value(words), 6) AS word_length, round(count(*) FILTER (length(w) >= 10)::DOUBLE / any_value(words), 6) AS long_share, round(any_value(words)::DOUBLE / any_value(s), 6) AS sentence_words
-        FROM tr JOIN sen USING (doc_id) GROUP BY doc_id
+    r AS (SELECT doc_id, any_value(language) AS language, any_value(words)::BIGINT AS words, (max(rank) FILTER (i = ceil(words * 0.5::DOUBLE)))::BIGINT AS coverage_rank, round(any_value(words)::DOUBLE / any_value(s), 6) AS sentence_words FROM tr JOIN sen USING (doc_id) GROUP BY doc_id),
+    m AS (SELECT *, round(ln(coverage_rank::DOUBLE), 6) AS coverage, round(ln(sentence_words), 6) AS sentence FROM r),
+    rated AS (SELECT m.language, band, coverage, sentence FROM m JOIN reading_labels USING (doc_id) WHERE band IS NOT NULL),
+    enough AS (SELECT language, band FROM rated GROUP BY ALL HAVING count(*) >= 5),
+    lab AS (
+        SELECT r.* FROM rated r JOIN enough USING (language, band) WHERE language IN (SELECT language FROM enough GROUP BY language HAVING count(*) > 1)
+        UNION ALL SELECT '', band, coverage, sentence FROM rated
     ),
-    l AS (SELECT band, unnest([{'f': 'coverage', 'x': coverage}, {'f': 'word_length', 'x': word_length}, {'f': 'long_share', 'x': long_share}, {'f': 'sentence_words', 'x': sentence_words}]) AS e FROM m JOIN reading_labels USING (doc_id) WHERE band IS NOT NULL),
-    mid AS (SELECT band, e.f AS f, quantile_cont(e.x, 0.5) AS mid FROM l GROUP BY ALL),
-    unit AS (SELECT mid.f, greatest(quantile_cont(abs(l.e.x - mid.mid), 0.5), 0.001) AS u FROM l JOIN mid ON mid.band = l.band AND mid.f = l.e.f GROUP BY mid.f),
-    far AS (
-        SELECT doc_id, mid.band, sum(((CASE mid.f WHEN 'coverage' THEN coverage WHEN 'word_length' THEN word_length WHEN 'long_share' THEN long_share ELSE sentence_words END - mid.mid) / u) ^ 2) AS d
-        FROM m, mid JOIN unit USING (f) GROUP BY doc_id, mid.band
+    mid AS (SELECT language, band, quantile_cont(coverage, 0.5) AS c, quantile_cont(sentence, 0.5) AS s FROM lab GROUP BY language, band),
+    unit AS (SELECT language, greatest(quantile_cont(abs(coverage - c), 0.5), 0.05) AS uc, greatest(quantile_cont(abs(sentence - s), 0.5), 0.05) AS us FROM lab JOIN mid USING (language, band) GROUP BY language),
+    near AS (
+        SELECT doc_id, arg_min(mid.band, (abs(m.coverage - c) / uc + abs(m.sentence - s) / us, mid.band)) AS band
+        FROM m JOIN mid ON mid.language = CASE WHEN m.language IN (SELECT language FROM unit) THEN m.language ELSE '' END JOIN unit ON unit.language = mid.language GROUP BY doc_id
     ),
-    out AS (SELECT m.*, (SELECT arg_min(band, (d, band)) FROM far WHERE far.doc_id = m.doc_id) AS band FROM m)"""
+    out AS (SELECT doc_id, language, words, coverage_rank, coverage, sentence_words, sentence, band FROM m LEFT JOIN near USING (doc_id))"""
 
 SQL: dict[str, str] = {
     "p4_found": """
