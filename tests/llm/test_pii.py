@@ -11,23 +11,57 @@ GIVEN, FAMILY = ["Anna", "Mark", "Will", "Rose", "Oskar"], ["Velmorrow", "Brüll
 PLACES = ["12 Elm Tree Road, Upton 99123", "7 bis, rue du Four, 99001 Valmont", "Birkenstraße 4a, 99300 Musterau", "P.O. Box 88, Upton 99123"]
 
 
+FILLER = [
+    "The green hall is closed and the market square is open.", "A quiet river runs past the old theatre.", "Some pumps need oil, others need a new seal.", "Die Werkstatt prüft den Auftrag am Montag.", "Le dossier du service est complet.",
+    "La oficina guarda el permiso nuevo.", "Walnut Street was closed.", "It rained yesterday, and nobody came.", "The report lists the stock of the north depot; 12 Elm Tree Road is a detour.", "Der Wartungsplan liegt im Schrank.", "Hall 4 Gate is locked.",
+]
+#: Frames that occur nowhere in the code, nor in the texts that the labelers learn from.
+HELD_OUT = [
+    ("The laptop of {name} was stolen.", "name"), ("We met {name} in the hall.", "name"), ("Notes written by {name} are kept.", "name"), ("Yesterday {name} sang well.", "name"), ("Nobody but {name} knew it.", "name"),
+    ("The winner is {name}, as expected.", "name"), ("{name} paid for it.", "name"), ("Ask whether {name} agrees!", "name"), ("It arrived at {address} last week.", "address"), ("From {address} it is a short walk.", "address"),
+    ("Ring {phone} if it rains.", "phone"), ("You reach us under {phone} at night.", "phone"), ("Forward it to {mail} soon.", "email"), ("{mail} bounced twice.", "email"), ("Her passport number {number} has expired.", "id_number"), ("On the card: SSN {number}, valid.", "id_number"),
+]
+INNOCENT = ["The version 2026-07-25 17 is void.", "See order 2792508410 for the green hall.", "The Market Square was full.", "Old Theatre tickets are sold at shelf 912-34-5678.", "Run pkg@4.1.9 in the shell.", "20 Walnut Street is a song.", "Look at the dot on it.", "Section 912 34 5678 is blank."]
+
+
+def sample(rng, listed=0.6):
+    g = rng.choice(GIVEN) if rng.random() < listed else rng.choice(["Petrus", "Nadja", "Ilona"])
+    f = rng.choice(FAMILY) if rng.random() < listed else rng.choice(["Tarnholt", "Osterveen", "Maldivane"])
+    return {
+        "name": rng.choice([f"{g} {f}", f"{g} {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{f.upper()} {g}", f"{g} B. {f}"]), "address": rng.choice(PLACES),
+        "phone": rng.choice(["+44 20 7946 0123", "(415) 555-0134", "212.555.0199", "030/23125444", "0013055550143"]), "number": rng.choice(["912-34-5678", "XQ1234567", "00 844 940 914"]),
+        "mail": rng.choice([f"{g.lower()}@post.example.org", "desk (at) north.example", "x [at] mail [dot] example [dot] org", "A.B@MAIL.EXAMPLE"]),
+    }
+
+
+def held_out():
+    """Texts to learn from, and 400 in frames of their own."""
+    rng = random.Random(8)
+    out = [*sentences()]
+    for i in range(400):
+        x = sample(rng)
+        if i % 5 == 4:
+            out.append((2000 + i, rng.choice(INNOCENT), []))
+            continue
+        frame, kind = rng.choice(HELD_OUT)
+        value = x[{"email": "mail", "id_number": "number"}.get(kind, kind)]
+        out.append((2000 + i, frame.format(**x), [(kind, value)]))
+    return out
+
+
 def sentences():
     rng = random.Random(3)
-    out = []
+    out = [(10_000 + i, rng.choice(FILLER), []) for i in range(200)]
     for i in range(240):
-        g, f = rng.choice(GIVEN + ["Petrus", "Nadja"]), rng.choice(FAMILY + ["Tarnholt"])
-        name = rng.choice([f"{g} {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{f.upper()} {g}", f"{g} B. {f}"])
-        phone = rng.choice(["+44 20 7946 0123", "(415) 555-0134", "212.555.0199", "030/23125444", "0013055550143"])
-        number = rng.choice(["912-34-5678", "XQ1234567", "00 844 940 914"])
-        mail = rng.choice([f"{g.lower()}@post.example.org", "desk (at) north.example", "x [at] mail [dot] example [dot] org", "A.B@MAIL.EXAMPLE"])
-        t, span = rng.choice(
+        x = sample(rng)
+        name, phone, number, mail = x["name"], x["phone"], x["number"], x["mail"]
+        out.append((i, *rng.choice(
             [
                 (f"Dear Mr {name}, your request AB-1234 is ready.", [("name", name)]), (f"Contact: {name}, {phone}.", [("name", name), ("phone", phone)]), (f"Passport no. {number} was shown at the gate by {name}.", [("id_number", number), ("name", name)]),
-                (f"Write to [the desk](mailto:{g.lower()}@post.example.org) for a copy.", [("email", f"{g.lower()}@post.example.org")]), (f"Questions go to {mail} before 12 May.", [("email", mail)]), (f"Please send the parcel to {name}, {(p := rng.choice(PLACES))}.", [("name", name), ("address", p)]),
+                ("Write to [the desk](mailto:anna@post.example.org) for a copy.", [("email", "anna@post.example.org")]), (f"Questions go to {mail} before 12 May.", [("email", mail)]), (f"Please send the parcel to {name}, {x['address']}.", [("name", name), ("address", x["address"])]),
                 (f"| a | {name} |\n| b | {phone} |", [("name", name), ("phone", phone)]), ("Part no. 912-34-5678 fits the older pump.", []), ("Order 2792508410 was split, sheet 2026-07-25 is void.", []), ("Section 12 Road markings. Mark the page, then grant access; will the rose stay?", []), ("The @retry marker wraps tool@4.1.9 in the file. Velmorrow Pumps is a firm.", []),
             ]
-        )
-        out.append((i, t, span))
+        )))
     return out
 
 
@@ -45,6 +79,32 @@ def test_found(spark):
     assert hit >= 0.97 * len(want) and hit >= 0.97 * len(got), (sorted(want - got)[:5], sorted(got - want)[:5])
 
 
+def test_held_out_frames(spark):
+    rows = held_out()
+    df, names = table(spark, rows)
+    got = {(r["k"], r["pii_type"], r["start_pos"]) for r in pii.spans(df, ["k"], "t", names).where("k between 2000 and 2999").collect()}
+    want = {(i, kind, t.index(s) + 1) for i, t, span in rows if 2000 <= i < 3000 for kind, s in span}
+    hit = len(got & want)
+    assert hit >= 0.95 * len(want) and hit >= 0.95 * len(got), (hit, len(want), len(got), [(x, t) for x in sorted(want ^ got) for i, t, _ in rows if i == x[0]][:30])
+
+
+def test_votes_reject(spark):
+    """Candidates of every type are turned down."""
+    df, names = table(spark, held_out())
+    proposed, judge = pii.proposals(df, ["k"], "t", names)
+    down = {pii.TYPES[c["type"]] for r in proposed.collect() for c in r["found"] if judge.probability(c["type"], c["f"]) < 0.5}
+    assert down == set(pii.TYPES)
+
+
+def test_whole_lines(spark):
+    """No look-back is too short for an address."""
+    word = "Langer" * 40
+    rows = [*sentences(), (900, f"At 12 {word} Road, Upton 99123 it is.", [])]
+    df, names = table(spark, rows)
+    got = {(r["pii_type"], r["start_pos"]) for r in pii.spans(df, ["k"], "t", names).where("k = 900").collect()}
+    assert got == {("address", 4)}
+
+
 def test_disguised(spark):
     rows = [*sentences(), (900, "Сontact: Аnna Velmо​rrow, +44\xa020\xa07946\xa00123.", []), (901, "Mail Ａnna＠post.example now", [])]
     df, names = table(spark, rows)
