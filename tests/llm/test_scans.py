@@ -66,6 +66,13 @@ def corpus(n=60):
     return docs, truth, clean
 
 
+def finder(patterns=frozenset({"Form 9 of the central archive"})):
+    """A finder of running lines trained on the documents of the corpus."""
+    m = S.Margins(set(patterns))
+    m.train([x for _, t in corpus()[0] if S.scanned(t) for x in m.sure(S.Page(t.split("\n")))])
+    return m
+
+
 def test_noise_and_repair(spark):
     docs, truth, clean = corpus()
     df = spark.createDataFrame([(*d, "x") for d in docs], "load_id long, t string, k string")
@@ -85,15 +92,51 @@ def test_one_long_line_in_a_scanned_document():
     assert len(address) > 100 and S.scanned(text) and S.scanned(f"{text}\n\n{address}\n") and S.scanned(text.replace("\n\n", f"\n\n{address}\n\n", 2))
     clean = "\n\n".join(prose(random.Random(3), 12) for _ in range(4))
     assert not S.scanned(clean) and not S.scanned(f"# Plan\n\nA short line\n\n- x\n- y\n\nDear all,\nhello\n\n{clean}")
-    found = S.noise(f"{text}\n\n{address}\n", S.Editor({}, {}), {"Form 9 of the central archive"})[1]
+    found = S.noise(f"{text}\n\n{address}\n", S.Editor({}, {}), finder())[1]
     assert {"running", "page_no"} <= set(found.values())
 
 
+def test_running_lines_of_any_length():
+    """Longer than the page is wide, in one document only, known from its place and its return."""
+    (_, text), noise, _ = page_doc(random.Random(4), 1)
+    long = "Issued by the central archive on behalf of the committee for storage, supply and quality, third edition of the year, for use in house"
+    lines = text.replace("Form 12 of the central archive", long).split("\n")
+    assert sum(x == long for x in lines) >= 3
+    kind = S.furniture(lines, finder(()))
+    assert {(i + 1, k) for i, k in kind.items()} == {x for x in noise if x[1] in ("running", "page_no")}
+
+
+def vocabulary():
+    return {w: 40 + 7 * (i % 9) for i, w in enumerate(WORDS)}
+
+
+def spoiled(words):
+    return [(w.replace(a, b, 1), w) for w in words for a, b in CONFUSIONS if a in w[1:-1] and w.replace(a, b, 1) not in WORDS]
+
+
+def test_the_training_decides():
+    """Untrained, the editor edits nothing; trained, it mends words it knows and some it doesn't, and leaves strange ones."""
+    channel = {(b, a): 50.0 for a, b in CONFUSIONS}
+    kept_out = set(WORDS[2::9])
+    known = {w: n for w, n in vocabulary().items() if w not in kept_out}
+    idle, editor = S.Editor(known, channel), S.Editor(known, channel)
+    editor.train()
+    pairs = spoiled(w for w in known if len(w) > 4 and "-" not in w)
+    assert all(idle.meant(bad) is None for bad, _ in pairs)
+    assert sum(editor.meant(bad) == good for bad, good in pairs) >= 0.95 * len(pairs)
+    assert sum(editor.meant(w) is not None for w in WORDS if "-" not in w) <= 0.03 * len(WORDS)
+    strange = spoiled(w for w in kept_out if len(w) > 5 and "-" not in w)
+    mended = sum(editor.meant(bad) == good for bad, good in strange)
+    assert mended >= 0.3 * len(strange)
+    assert not idle.joins("stor", "-", "age") and editor.joins("stor", "-", "age") and not editor.joins("lock", "-", "screen")
+
+
 def test_decoys():
+    m = finder()
     lines = "# Plan\n\nIn all the stock came to\nTotal carton count:\n796\n\n- 3 -\nmore text\n- 4 -\nend".split("\n")
-    assert S.furniture(lines, set()) == {6: "page_no", 8: "page_no"}
-    assert S.furniture("# Plan\n\nkept in hall\n3.\n\nPlan\n- 4 -".split("\n"), set()) == {5: "running", 6: "page_no"}
-    assert S.furniture("```\n7\n```\ntext\n8".split("\n"), set()).get(1) is None
+    assert S.furniture(lines, m) == {6: "page_no", 8: "page_no"}
+    assert S.furniture("# Plan\n\nkept in hall\n3.\n\nPlan\n- 4 -".split("\n"), m) == {5: "running", 6: "page_no"}
+    assert S.furniture("```\n7\n```\ntext\n8".split("\n"), m).get(1) is None
 
 
 def test_edges(spark):

@@ -1,22 +1,23 @@
 """Problem 2: text of scanned pages repaired into continuous paragraphs.
 
-Furniture. Running lines and page numbers are found by their place on the page: lines that repeat the document's title
-around page breaks, lines of a pattern that recurs over pages of many documents (counted over the whole corpus), and
-numbers that count up from page to page or stand by other furniture.
+Furniture. Running lines are found by an averaged perceptron over a line's place on the page (breaks above and below, form
+feeds, numbers beside it), its form, and its recurrence in the document and over the corpus; page numbers by counting up from
+page to page or standing by other furniture.
 
 Editor. An averaged perceptron edits characters: keep, replace, delete, insert and, at a line's end, join. It is trained
-on words of the documents that were not scanned, spoiled by the confusions that the scanned ones show: a word unknown
-to the clean documents that one confusion turns into a known word is evidence for the confusion. An edit must end in
-a known word; the perceptron decides between edits and keeping.
+on words of the documents that were not scanned, spoiled by the confusions that the scanned ones show (a word unknown
+to the clean documents that one confusion turns into a known word is evidence for the confusion), and half of the time
+taken for unknown, so that it learns from the letters too. Whether a result is a known word is one feature of many.
 
 Two passes. The first counts words and line patterns per partition (in plain counters, summed by Spark); what comes to
 the driver is bounded by shares of the totals: words of at least WORD_SHARE of all words, patterns on at least
-PATTERN_SHARE of the documents, and the FIT most frequent unknown words, to which the classifier is fitted. The second
+PATTERN_SHARE of the documents, and confusions of a thousandth of the evidence. The second
 pass repairs every document in place; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import ast
 import random
 import re
 from collections import Counter, defaultdict
@@ -29,7 +30,13 @@ from pyspark.sql import functions as F
 from thicket.llm.lookalikes import single_map
 from thicket.session import spread
 
-WORD_SHARE, PATTERN_SHARE, FIT = 2e-6, 0.002, 20_000
+WORD_SHARE, PATTERN_SHARE = 2e-6, 0.001
+#: Words that the editor is trained on in a round, and documents whose lines train the finder of running lines.
+FIT, FIT_DOCUMENTS = 5_000, 4_000
+#: Lines of text between a line and the break of the page that it may belong to.
+NEAR = 2
+#: Words whose decisions a task remembers.
+MEMO = 200_000
 MARKS = "-‐¬\xad"
 _MARK_SET = frozenset(MARKS)
 _WORD = re.compile(r"[^\W_]+(?:[-‑’'][^\W_]+)*")
@@ -79,26 +86,76 @@ def pattern(line: str) -> str:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(kind, item, n, m): words of clean (w) and scanned (s) documents; line patterns, documents and those that repeat it (p)."""
-    clean, noisy, docs, again = Counter(), Counter(), Counter(), Counter()
+    """(kind, item, n): words of clean (w) and scanned (s) documents; documents that repeat a line's pattern by breaks of pages (p)."""
+    clean, noisy, again = Counter(), Counter(), Counter()
     for pdf in batches:
         for t in map(plain, pdf["t"]):
             if not scanned(t):
                 clean.update(_LETTERS.findall(t.lower()))
                 continue
             noisy.update(w for w in _WORD.findall(t.lower()) if len(w) > 4 and not _THREE_DIGITS.search(w))
-            own = Counter(pattern(x) for x in t.split("\n") if 3 < len(x.strip()) < 60 and not _MARKUP.match(x) and x.strip()[-1] not in ".:;,!?")
-            docs.update(own.keys())
-            again.update(k for k, n in own.items() if n > 1)
-        if len(clean) + len(noisy) > 500_000:  # a partition of any size in bounded memory
-            yield _rows(clean, noisy, docs, again)
-            clean, noisy, docs, again = Counter(), Counter(), Counter(), Counter()
-    yield _rows(clean, noisy, docs, again)
+            lines = t.split("\n")
+            own = Counter(pattern(lines[i]) for i in Page(lines).near if not _PAGE.match(lines[i].strip()))
+            again.update(k for k, n in own.items() if n > 1 and len(k) > 3)
+        if len(clean) + len(noisy) + len(again) > 500_000:  # a partition of any size in bounded memory
+            yield _rows(clean, noisy, again)
+            clean, noisy, again = Counter(), Counter(), Counter()
+    yield _rows(clean, noisy, again)
 
 
-def _rows(clean: Counter, noisy: Counter, docs: Counter, again: Counter) -> pd.DataFrame:
-    rows = [("w", k, n, 0) for k, n in clean.items()] + [("s", k, n, 0) for k, n in noisy.items()] + [("p", k, n, again[k]) for k, n in docs.items()]
-    return pd.DataFrame(rows, columns=["kind", "item", "n", "m"])
+def _rows(clean: Counter, noisy: Counter, again: Counter) -> pd.DataFrame:
+    rows = [(kind, k, n) for kind, counts in (("w", clean), ("s", noisy), ("p", again)) for k, n in counts.items()]
+    return pd.DataFrame(rows, columns=["kind", "item", "n"])
+
+
+_DIGITS = re.compile(r"[0-9]+")
+
+
+class Page:
+    """Where the lines of a scanned document stand. ``up``, ``down``: how many lines of text lie between a line and a break (a
+    blank line, a form feed, the start or end). ``near``: the lines that may be a page's margin: at most NEAR lines
+    from a break, beside a number that stands alone, recurring but for digits, or like the title."""
+
+    def __init__(self, lines: list[str]):
+        self.lines, self.strip = lines, [x.strip() for x in lines]
+        self.code: set[int] = set()
+        fenced = False
+        for i, s in enumerate(self.strip):
+            fence = s.startswith("```")
+            if fenced or fence:
+                self.code.add(i)
+            fenced = fenced != fence
+        self.filled = [i for i, s in enumerate(self.strip) if s]
+        self.place = {i: k for k, i in enumerate(self.filled)}
+        self.up, self.down = self._distance(range(len(lines)), -1), self._distance(range(len(lines) - 1, -1, -1), 1)
+        self.head = next((m.group(1).strip().lower() for x in self.strip if (m := _HEADING.match(x))), None)
+        bare = [_DIGITS.sub("", s).strip() for s in self.strip]
+        times = Counter(bare)
+        numbers = {i for i in self.filled if len(bare[i]) < 12 and _PAGE.match(self.strip[i])}
+        beside = {j for i in numbers for j in (self.beside(i, -1), self.beside(i, 1))}
+        self.near = [
+            i for i in self.filled
+            if i not in self.code and not _MARKUP.match(self.strip[i]) and (min(self.up[i], self.down[i]) <= NEAR or i in beside or (times[bare[i]] > 1 and len(bare[i]) > 3) or (self.head and self._like(bare[i])))
+        ]
+
+    def _distance(self, order: range, _side: int) -> list[int]:
+        out, n = [0] * len(self.lines), 0
+        for i in order:
+            if not self.strip[i] or "\x0c" in self.lines[i]:
+                out[i] = n = 0
+                continue
+            out[i] = n
+            n += 1
+        return out
+
+    def _like(self, s: str) -> bool:
+        """Of the title's length, or with its beginning or end."""
+        s = s.rpartition(" / ")[2].lower()
+        return abs(len(s) - len(self.head)) <= 2 or s[:4] == self.head[:4] or s[-4:] == self.head[-4:]
+
+    def beside(self, i: int, d: int) -> int | None:
+        k = self.place[i] + d
+        return self.filled[k] if 0 <= k < len(self.filled) else None
 
 
 class Perceptron:
@@ -131,46 +188,75 @@ class Perceptron:
 
 
 class Editor:
-    """Decides about words and line ends. ``vocab``: word -> count; ``channel``: (seen, meant) -> weight."""
+    """Decides about words and line ends, character by character. ``vocab``: word -> count; ``channel``: (seen, meant) -> weight.
+
+    A script keeps every character of a word but those of one place (two in long words), which a confusion of the channel
+    replaces, with an insertion or a deletion where it changes the length. A script is scored by the operations at every
+    place where the channel could act, with the characters around them, by how usual the three-letter runs are that it
+    leaves, and by whether the result is a known word. Neither must the result be known nor the word unknown: the weights decide.
+    """
 
     def __init__(self, vocab: dict[str, int], channel: dict[tuple[str, str], float]):
         self.vocab, self.channel = vocab, channel
         self.by_seen: dict[str, list[str]] = defaultdict(list)
-        for seen, meant in channel:
+        for seen, meant in sorted(channel):
             self.by_seen[seen].append(meant)
+        self.grams: Counter = Counter()
+        for w in vocab:
+            self.grams.update(self._runs(w))
         self.model = Perceptron()
         self.memo: dict[str, str | None] = {}
 
-    def _bucket(self, word: str) -> int:
-        return min(8, self.vocab.get(word, 0).bit_length() // 2)
-
-    def edits(self, word: str) -> list[tuple[str, list]]:
-        """Every edit of one confusion that ends in a known word, and keeping: (result, features of its operations)."""
-        known = self._bucket(word)
-        keep = [("keep", known), ("keep digit", any(c.isdigit() for c in word) and not word.isdigit()), ("keep len", min(len(word), 12))]
-        out = [(word, keep)]
-        padded = f"^{word}$"
-        for size in (1, 2):
-            for i in range(len(word) - size + 1):
-                for meant in self.by_seen.get(word[i : i + size], ()):
-                    new = word[:i] + meant + word[i + size :]
-                    if new in self.vocab:
-                        ops = ["replace " + meant[0]] + (["insert " + meant[1:]] if len(meant) > size else ["delete " + word[i + 1]] if size > len(meant) else [])
-                        ctx = [(op, padded[i], word[i : i + size]) for op in ops] + [(op, word[i : i + size], padded[i + size + 1]) for op in ops] + [(op, word[i : i + size]) for op in ops]
-                        out.append((new, [*ctx, ("known", self._bucket(new)), ("from", known), ("digit", word[i : i + size].isdigit())]))
+    @staticmethod
+    def _runs(word: str) -> set[str]:
+        p = f"^{word}$"
+        return {p[i : i + 3] for i in range(len(p) - 2)}
+
+    def _bucket(self, word: str, hidden: str | None = None) -> int:
+        return 0 if word == hidden else min(8, self.vocab.get(word, 0).bit_length() // 2)
+
+    def _usual(self, word: str, own: set[str]) -> int:
+        """How many known words hold the rarest three-letter run of a word, as a bucket; ``own`` runs count one less."""
+        return min(((self.grams.get(g, 0) - (g in own)).bit_length() for g in self._runs(word)), default=0)
+
+    def _places(self, word: str) -> list[tuple[int, int]]:
+        return [(i, z) for z in (1, 2) for i in range(len(word) - z + 1) if word[i : i + z] in self.by_seen]
+
+    def edits(self, word: str, hidden: str | None = None, once: bool = True) -> list[tuple[str, list]]:
+        """Every script: (result, features), keeping the word first. ``hidden`` is a word to take for unknown."""
+        own = self._runs(hidden) if hidden else set()
+        p = f"^{word}$"
+        known = self._bucket(word, hidden)
+        places = self._places(word)
+        out = [(word, [("keep", known), ("keep runs", self._usual(word, own), known > 0), ("keep digit", any(c.isdigit() for c in word) and not word.isdigit())] + [("keep", word[i : i + z], p[i]) for i, z in places] + [("keep", word[i : i + z]) for i, z in places])]
+        for i, z in places:
+            seen = word[i : i + z]
+            rest = [f for j, y in places if (j, y) != (i, z) for f in (("keep", word[j : j + y], p[j]), ("keep", word[j : j + y]))]
+            for meant in self.by_seen[seen]:
+                new = word[:i] + meant + word[i + z :]
+                to = self._bucket(new, hidden)
+                if known and not to:
+                    continue  # a known word is no misreading of an unknown one
+                ops = ["replace " + meant[0]] + (["insert " + meant[1:]] if len(meant) > z else ["delete " + seen[1:]] if z > len(meant) else [])
+                feats = rest + [f for op in ops for f in ((op, seen), (op, p[i], seen), (op, seen, p[i + z + 1]))]
+                feats += [("known", to), ("runs", self._usual(new, own), to > 0), ("from", known, to), ("digit", any(c.isdigit() for c in seen))]
+                out.append((new, feats))
+        if not once and len(word) > 6 and len(out) > 1:  # a second confusion in a long word
+            near = sorted(out[1:], key=lambda o: (-self.model.score(o[1]), o[0]))[:4]
+            seen_already = {o[0] for o in out}
+            out += [(r, [*f, ("second", 1)]) for x, _ in near for r, f in self.edits(x, hidden)[1:] if r in self.vocab and r not in seen_already]
         return out
 
     def meant(self, word: str) -> str | None:
         """What a word (in lower case) should read; None if it reads right."""
-        if word in self.vocab or word.isdigit():
+        if word.isdigit():
             return None
         if word not in self.memo:
-            options = self.edits(word)
-            if len(options) == 1 and len(word) > 6:  # two confusions in one long word
-                first = {word[:i] + m + word[i + z :] for z in (1, 2) for i in range(len(word) - z + 1) for m in self.by_seen.get(word[i : i + z], ())}
-                options += [o for x in sorted(first) for o in self.edits(x)[1:]]
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            options = self.edits(word, once=word in self.vocab)
             k = self.model.best(options)
-            if not k and "-" in word:  # a compound: part by part
+            if not k and "-" in word and word not in self.vocab:  # a compound: part by part
                 parts = word.split("-")
                 fixed = [self.meant(p) or p if len(p) > 2 else p for p in parts]
                 self.memo[word] = "-".join(fixed) if fixed != parts else None
@@ -183,77 +269,88 @@ class Editor:
         joined, compound = left + right, f"{left}-{right}"
         tail, front = left.rsplit("-", 1)[-1], right.split("-", 1)[0]
         f = [("mark", mark), ("joined", self._bucket(joined)), ("mended", joined not in self.vocab and self.meant(joined) is not None), ("compound", self._bucket(compound)),
-             ("parts", tail in self.vocab, front in self.vocab), ("short", min(len(tail), len(front)) < 3), ("digits", tail.isdigit() or front.isdigit())]
+             ("parts", tail in self.vocab, front in self.vocab), ("short", min(len(tail), len(front)) < 3), ("digits", tail.isdigit() or front.isdigit()),
+             ("run", min(self.grams.get(f"^{joined}$"[len(left) + d :][:3], 0).bit_length() for d in (-1, 0)))]
         return [(False, [("keep", *x) for x in f]), (True, [("join", *x) for x in f])]
 
     def joins(self, left: str, mark: str, right: str) -> bool:
         options = self.ends(left, mark, right)
         return options[self.model.best(options)][0]
 
-    def train(self, seed: int = 11, rounds: int = 4) -> None:
-        """On known words spoiled by the channel, known words left alone, names of chance, and words broken at line ends."""
+    def train(self, seed: int = 11, rounds: int = 10) -> None:
+        """On known words and compounds, FIT of each drawn anew every round: spoiled by the channel, left alone, half of the time taken for unknown, glued
+        together to words that nobody knows, and broken at line ends."""
         rng = random.Random(seed)
-        words = sorted((w for w in self.vocab if len(w) >= 5 and w.isalpha()), key=lambda w: (-self.vocab[w], w))[:FIT]
-        compounds = sorted((w for w in self.vocab if w.count("-") == 1 and w.replace("-", "").isalpha()), key=lambda w: (-self.vocab[w], w))[:FIT]
+        words = sorted(w for w in self.vocab if len(w) >= 5 and w.isalpha())
+        compounds = sorted(w for w in self.vocab if w.count("-") == 1 and w.replace("-", "").isalpha())
         pairs = sorted(self.channel, key=lambda p: (-self.channel[p], p))
-        weights = [self.channel[p] for p in pairs]
+        weights = [self.channel[p] ** 0.5 for p in pairs]  # rare confusions are learnt, too
         if not words:
             return
         for _ in range(rounds):
-            for w in words[:4000]:
+            for w in rng.sample(words, min(FIT, len(words))):
+                hidden = w if rng.random() < 0.5 else None
                 if pairs:
                     seen, meant = rng.choices(pairs, weights)[0]
                     at = [i for i in range(len(w)) if w.startswith(meant, i)]
                     if at:
                         i = rng.choice(at)
                         bad = w[:i] + seen + w[i + len(meant) :]
-                        options = self.edits(bad)
+                        options = self.edits(bad, hidden)
                         if bad not in self.vocab and (k := next((k for k, o in enumerate(options) if o[0] == w), None)):
                             self.model.learn(options, k)
-                options = self.edits(w)
-                self.model.learn(options, 0)
+                self.model.learn(self.edits(w, hidden), 0)
+                other = rng.choice(words)
+                strange = w[: rng.randint(3, len(w))] + other[rng.randint(1, len(other) - 2) :]
+                if strange not in self.vocab:
+                    self.model.learn(self.edits(strange), 0)
                 cut = rng.randint(2, len(w) - 2)
                 mark = rng.choice(MARKS)
+                self.memo.clear()
                 self.model.learn(self.ends(w[:cut], mark, w[cut:]), 1)
+            for w in rng.sample(compounds, min(FIT, len(compounds))):
                 self.memo.clear()
-            for w in compounds[:4000]:
                 self.model.learn(self.ends(*w.split("-")[:1], rng.choice("-‐-"), w.split("-")[1]), 0)
                 cut = rng.randint(2, len(w) - 2)
                 if w[cut - 1] != "-" and w[cut] != "-":
                     self.model.learn(self.ends(w[:cut], rng.choice(MARKS), w[cut:]), 1)
-                self.memo.clear()
         self.model.average()
         self.memo.clear()
 
 
-def confusions(vocab: dict[str, int], unknown: list[tuple[str, int]]) -> dict[tuple[str, str], float]:
-    """(seen, meant) -> weight, from unknown words that one confusion (1:1, 2:1, 1:2 characters) turns into known ones.
+class Holes:
+    """Known words with one or two characters left out, to find what an unknown word may be a misreading of."""
 
-    A word with several readings shares its weight among them. Kept: confusions shown by at least three unknown words that make up a thousandth of
-    the evidence, and those with a digit from two.
-    """
-    holes: dict[tuple, list[str]] = defaultdict(list)
-    for v in vocab:
-        if len(v) >= 5 and v.isalpha():
-            for size in (1, 2):
-                for i in range(len(v) - size + 1):
-                    holes[v[:i], v[i + size :]].append(v[i : i + size])
-    weight: dict[tuple[str, str], float] = Counter()
-    kinds: dict[tuple[str, str], int] = Counter()
-    for w, n in unknown:
-        if len(w) < 5 or w.isdigit() or sum(c.isdigit() for c in w) > 2:
-            continue
-        found = set()
+    def __init__(self, vocab: dict[str, int]):
+        self.vocab = vocab
+        self.holes: dict[tuple, list[str]] = defaultdict(list)
+        for v in vocab:
+            if len(v) >= 5 and v.isalpha():
+                for size in (1, 2):
+                    for i in range(len(v) - size + 1):
+                        self.holes[v[:i], v[i + size :]].append(v[i : i + size])
+
+    def readings(self, w: str) -> set[tuple[str, str]]:
+        """(seen, meant) of every confusion (1:1, 2:1, 1:2 characters) that turns an unknown word into a known one."""
+        found: set[tuple[str, str]] = set()
+        if w in self.vocab or len(w) < 5 or w.isdigit() or sum(c.isdigit() for c in w) > 2:
+            return found
         for size in (1, 2):
             for i in range(len(w) - size + 1):
-                for meant in holes.get((w[:i], w[i + size :]), ()):
+                for meant in self.holes.get((w[:i], w[i + size :]), ()):
                     if len(meant) + size <= 3 and meant != w[i : i + size] and not (size == 2 and meant in w[i : i + size]) and not (len(meant) == 2 and w[i] in meant):
                         found.add((w[i : i + size], meant))
-        for f in found:
-            weight[f] += n / len(found)
-            kinds[f] += 1
-    total = sum(weight.values())
-    return {f: w for f, w in weight.items() if (kinds[f] >= 3 and w >= total / 1000) or (kinds[f] >= 2 and any(c.isdigit() for c in f[0]))}
+        return found
+
+
+def confusions(weight: dict[tuple[str, str], tuple[float, int]]) -> dict[tuple[str, str], float]:
+    """(seen, meant) -> weight, from (seen, meant) -> (weight, unknown words that show it).
+
+    Kept: confusions shown by at least three unknown words that make up a thousandth of the evidence, and those with a
+    digit from two.
+    """
+    total = sum(w for w, _ in weight.values())
+    return {f: w for f, (w, kinds) in weight.items() if (kinds >= 3 and w >= total / 1000) or (kinds >= 2 and any(c.isdigit() for c in f[0]))}
 
 
 def _close(a: str, b: str) -> bool:
@@ -283,33 +380,113 @@ def _number(m: re.Match) -> int | None:
     return int(t) if t.isdigit() else None
 
 
-def furniture(lines: list[str], patterns: set[str]) -> dict[int, str]:
-    """index -> ``running`` or ``page_no``, from what the lines say and where on the pages they stand."""
-    kind: dict[int, str] = {}
-    strip = [x.strip() for x in lines]
-    head = next((m.group(1).strip().lower() for x in strip if (m := _HEADING.match(x))), None)
-    loose = [p.lower() for p in patterns]
-    fenced, code = False, set()
-    for i, s in enumerate(strip):
-        if s.startswith("```"):
-            fenced = not fenced
-        if fenced:
-            code.add(i)
-        if fenced or not s or len(s) > 90 or _MARKUP.match(s):
-            continue
-        if pattern(s) in patterns:
-            kind[i] = "running"
-            continue
-        core = next((g for g in m.groups() if g), s) if (m := _SPLIT.match(s)) else s
-        core = core.strip().lower()
+class Margins:
+    """Finds running lines: an averaged perceptron over where a line stands on the page and how it recurs.
+
+    Its features: the breaks above and below and how near they are, form feeds, page numbers beside the line or in it,
+    the share of the usual width, how it begins and ends, whether it repeats the document's title, recurs in the document, or is
+    of a pattern that documents of the corpus repeat. It is trained without labels by hand on what is sure: lines that
+    recur by breaks of pages are running lines, lines inside paragraphs that don't are text. Two times in five what made them sure
+    is hidden, so that the place on the page has to tell.
+    """
+
+    def __init__(self, patterns: set[str]):
+        self.patterns = patterns
+        self.loose = sorted(p.lower() for p in patterns)
+        self.model = Perceptron()
+        self.weight: dict = {}  # for running against text
+
+    def _title(self, page: Page, s: str) -> tuple[str, bool]:
+        m = _SPLIT.match(s)
+        core = (next((g for g in m.groups() if g), s) if m else s).strip().lower()
         named = re.sub(r"^[^\W\d_]+ / ", "", core)
-        if head and (_close(core, head) or _close(named, head)):
-            kind[i] = "running"
-        elif len(s) < 60 and s[-1] not in ".:;,!?" and any(_close(pattern(s).lower(), p) or _close(re.sub(r"\d+", "", core), re.sub(r"\d+", "", p)) for p in loose if abs(len(p) - len(core)) < 12 and (p[:4] == core[:4] or p[-4:] == pattern(s).lower()[-4:])):
-            kind[i] = "running"
-    filled = [i for i, s in enumerate(strip) if s]
-    place = {i: k for k, i in enumerate(filled)}
-    numbers = [(i, m, v) for i in filled if i not in kind and i not in code and len(strip[i]) < 30 and (m := _PAGE.match(strip[i])) and (v := _number(m)) is not None]
+        if page.head and (core == page.head or named == page.head):
+            return "same", m is not None
+        return ("close" if page.head and page._like(core) and (_close(core, page.head) or _close(named, page.head)) else "other"), m is not None
+
+    def _shared(self, own: str) -> str:
+        if own in self.patterns:
+            return "same"
+        low = own.lower()
+        bare = _DIGITS.sub("", low)
+        near = (p for p in self.loose if abs(len(p) - len(low)) < 3 and (p[:4] == low[:4] or p[-4:] == low[-4:]))
+        return "close" if any(_close(low, p) or _close(bare, _DIGITS.sub("", p)) for p in near) else "no"
+
+    def features(self, page: Page) -> dict[int, tuple[list, list]]:
+        """line -> (features of its place and form, features of its recurrence), of the lines near breaks of pages."""
+        if not page.near:
+            return {}
+        patterns = {i: pattern(page.lines[i]) for i in page.near}
+        own = Counter(patterns.values())
+        often = [p.lower() for p, n in own.most_common(6) if n > 1]
+        width = sorted(len(page.strip[i]) for i in page.filled)[len(page.filled) * 3 // 4] or 1
+        out = {}
+        for i in page.near:
+            s = page.strip[i]
+            if _PAGE.match(s):
+                continue
+            up, down = min(page.up[i], 3), min(page.down[i], 3)
+            before, after = page.beside(i, -1), page.beside(i, 1)
+            number = any(j is not None and _PAGE.match(page.strip[j]) for j in (before, after))
+            feed = any("\x0c" in x for x in page.lines[max(0, i - 2) : i + 3])
+            title, split = self._title(page, s)
+            last = "end" if _END.search(s) else "comma" if s[-1] == "," else "mark" if s[-1] in _MARK_SET else "digit" if s[-1].isdigit() else "open"
+            first = "digit" if s[0].isdigit() else "small" if s[0].islower() else "large"
+            wide = min(4, 4 * len(s) // width)
+            place = [("up", up), ("down", down), ("both", up, down), ("number", number), ("feed", feed), ("edge", before is None, after is None), ("last", last), ("first", first), ("wide", wide), ("form", last, first, wide), ("sides", first, last), ("first", first, number), ("title", title), ("title number", title, split, number), ("title place", title, min(up, down))]
+            mine = patterns[i]
+            low = mine.lower()
+            n = min(own[mine], 3)
+            if n == 1 and any(abs(len(low) - len(q)) < 3 and (low[:4] == q[:4] or low[-4:] == q[-4:]) and _close(low, q) for q in often):
+                n = -1  # but for misread letters
+            shared = self._shared(mine)
+            again = [("again", n), ("shared", shared), ("again shared", n, shared), ("again title", n, title), ("again number", n, number, shared)]
+            out[i] = (place, again)
+        return out
+
+    def sure(self, page: Page) -> list[tuple[bool, list, list]]:
+        """(running, place, recurrence) of the lines of a document that are sure."""
+        out = []
+        for place, again in self.features(page).values():
+            n, shared, title = again[0][1], again[1][1], dict((f[0], f[1]) for f in place)["title"]
+            form = dict((f[0], f[1]) for f in place)
+            ends, text = form["last"] in ("open", "digit") and form["first"] != "small", shared == "no" and title == "other"
+            if not text and (shared == "same" or n != 1 or form["number"] or form["feed"]):
+                out.append((True, place, again))
+            elif n >= 3 and ends and (form["number"] or form["feed"]):
+                out.append((True, place, again))
+            elif text and (n == 1 or not ends):
+                out.append((False, place, again))
+        return out
+
+    @staticmethod
+    def _options(feats: list) -> list[tuple[bool, list]]:
+        return [(False, [("text", *f) for f in feats]), (True, [("running", *f) for f in feats])]
+
+    def train(self, lines: list[tuple[bool, list, list]], seed: int = 5, rounds: int = 8) -> None:
+        rng = random.Random(seed)
+        yes, no = [x for x in lines if x[0]], [x for x in lines if not x[0]]
+        for _ in range(rounds if yes and no else 0):
+            some = yes + rng.sample(no, min(len(no), 5 * len(yes)))
+            rng.shuffle(some)
+            for running, place, again in some:
+                self.model.learn(self._options(place + (again if rng.random() < 0.6 else [])), int(running))
+        self.model.average()
+        every = {f[1:] for f in self.model.w}
+        self.weight = {f: self.model.w.get(("running", *f), 0.0) - self.model.w.get(("text", *f), 0.0) for f in every}
+
+    def running(self, page: Page) -> set[int]:
+        w = self.weight
+        return {i for i, (place, again) in self.features(page).items() if sum(w.get(f, 0.0) for f in place) + sum(w.get(f, 0.0) for f in again) > 1e-9}
+
+
+def furniture(lines: list[str], margins: Margins) -> dict[int, str]:
+    """index -> ``running`` or ``page_no``, from where on the pages the lines stand and what they say."""
+    page = Page(lines)
+    strip, code = page.strip, page.code
+    kind: dict[int, str] = dict.fromkeys(margins.running(page), "running")
+    filled, place = page.filled, page.place
+    numbers = [(i, m, v) for i in filled if i not in kind and i not in code and (m := _PAGE.match(strip[i])) and (v := _number(m)) is not None]
     if not numbers:
         return kind
 
@@ -335,10 +512,10 @@ def furniture(lines: list[str], patterns: set[str]) -> dict[int, str]:
     return kind
 
 
-def noise(text: str, editor: Editor, patterns: set[str]) -> tuple[list[str], dict[int, str], dict[int, tuple[int, str]], dict[int, list[tuple[int, int, str]]]]:
+def noise(text: str, editor: Editor, margins: Margins) -> tuple[list[str], dict[int, str], dict[int, tuple[int, str]], dict[int, list[tuple[int, int, str]]]]:
     """Lines, furniture, joins (line -> the line that goes on, the word) and misread words (line -> [(from, to, meant)])."""
     lines = plain(text).split("\n")
-    kind = furniture(lines, patterns)
+    kind = furniture(lines, margins)
     body = [i for i, x in enumerate(lines) if i not in kind and x.strip("\x0c \t")]
     joins: dict[int, tuple[int, str]] = {}
     bad: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
@@ -362,14 +539,14 @@ def noise(text: str, editor: Editor, patterns: set[str]) -> tuple[list[str], dic
             stop = m.start(1)
             skip[body[k + 1]] = n.end(1)
         start = skip.get(i, 0)
-        if not any(len(w) > 3 and w not in editor.vocab for w in _WORD.findall(x[start:stop].lower())):
-            continue
+        if not any(len(w) > 3 and editor.memo.get(w, w) is not None for w in _WORD.findall(x[start:stop].lower())):
+            continue  # words that were decided to read right
         for w in _WORD.finditer(x, start, stop):
             word = w.group()
             if len(word) < 4 or (w.end() < len(x) and x[w.end()] in "@=") or (w.start() and x[w.start() - 1] in "@/."):
                 continue
             low = word.lower()
-            if low not in editor.vocab and not _code(low) and (fix := editor.meant(low)) is not None and len(fix.replace("-", "")) > 4:
+            if not _code(low) and (fix := editor.meant(low)) is not None and len(fix.replace("-", "")) > 4:
                 bad[i].append((w.start(), w.end(), fix))
     return lines, kind, joins, bad
 
@@ -383,11 +560,11 @@ def _case(seen: str, meant: str) -> str:
     return meant.upper() if seen.isupper() and len(seen) > 1 else meant[:1].upper() + meant[1:] if seen[:1].isupper() else meant
 
 
-def repair(text: str, editor: Editor, patterns: set[str]) -> str:
+def repair(text: str, editor: Editor, margins: Margins) -> str:
     """Continuous paragraphs: no furniture, broken words joined, misread words mended, lines of a paragraph on one line."""
     if not scanned(text):
         return text
-    lines, kind, joins, bad = noise(text, editor, patterns)
+    lines, kind, joins, bad = noise(text, editor, margins)
     owed = {j: (i, w) for i, (j, w) in joins.items()}
     out: list[str] = []
     flow = gap = margin = fenced = False  # in a paragraph; blank lines, furniture since the last line
@@ -428,24 +605,43 @@ def repair(text: str, editor: Editor, patterns: set[str]) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
 
 
-def learn(df: DataFrame) -> tuple[Editor, set[str]]:
-    """The editor and the patterns of running lines, from (t): all texts of the corpus."""
+def learn(df: DataFrame) -> tuple[Editor, Margins]:
+    """The editor and the finder of running lines, from (t): all texts of the corpus."""
     total = df.count()
-    counts = df.mapInPandas(_count, "kind string, item string, n long, m long").groupBy("kind", "item").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).persist()
+    counts = df.mapInPandas(_count, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n")).persist()
     try:
         words = int(counts.where("kind = 'w'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"])
         least = max(2, WORD_SHARE * words)
         vocab = {r["item"]: int(r["n"]) for r in counts.where((F.col("kind") == "w") & (F.col("n") >= least)).select("item", "n").collect()}  # at most 1 / WORD_SHARE words
         docs = max(2, PATTERN_SHARE * total)
-        patterns = {r["item"] for r in counts.where((F.col("kind") == "p") & (F.col("n") >= docs) & (F.col("m") * 2 >= F.col("n"))).select("item").collect() if not _PAGE.match(r["item"]) and re.search(r"[^\W\d_]{3}", r["item"])}  # at most lines of a document / PATTERN_SHARE
-        right = counts.where((F.col("kind") == "w") & (F.col("n") >= least)).select("item")
-        often = counts.where("kind = 's'").join(right, "item", "left_anti").orderBy(F.col("n").desc(), "item").select("item", "n").limit(FIT).collect()  # a bounded sample that the classifier is fitted to
+        patterns = {r["item"] for r in counts.where((F.col("kind") == "p") & (F.col("n") >= docs)).select("item").collect() if re.search(r"[^\W\d_]{3}", r["item"])}  # at most lines of a document / PATTERN_SHARE
+        holes = Holes(vocab)
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """A word with several readings shares its weight among them."""
+            for pdf in batches:
+                out = [(seen, meant, float(n) / len(found)) for w, n in zip(pdf["item"], pdf["n"]) if (found := holes.readings(w)) for seen, meant in found]
+                yield pd.DataFrame(out, columns=["seen", "meant", "x"])
+
+        told = counts.where("kind = 's'").select("item", "n").mapInPandas(read, "seen string, meant string, x double").groupBy("seen", "meant").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("kinds"))
+        total = told.agg(F.sum("x")).first()[0] or 0.0
+        few = told.where(f"(kinds >= 3 and x >= {total / 1000}) or (kinds >= 2 and seen rlike '[0-9]')").collect()  # a thousandth each, and pairs of characters
+        channel = confusions({(r["seen"], r["meant"]): (r["x"], r["kinds"]) for r in few} | {("", ""): (total - sum(r["x"] for r in few), 0)})
     finally:
         counts.unpersist()
-    unknown = [(r["item"], int(r["n"])) for r in often]
-    editor = Editor(vocab, confusions(vocab, unknown))
+    editor = Editor(vocab, channel)
     editor.train()
-    return editor, patterns
+    margins = Margins(patterns)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"x": [repr(x) for t in pdf["t"] if scanned(t) for x in margins.sure(Page(plain(t).split("\n")))]}, dtype=object)
+
+    # A bounded sample by hash, to which the finder is fitted: all documents while there are few.
+    part = df.where(F.pmod(F.xxhash64(F.lit(29), "t"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_DOCUMENTS / max(1, total))))
+    lines = part.mapInPandas(label, "x string").orderBy(F.xxhash64("x"), "x").limit(50 * FIT_DOCUMENTS).collect()
+    margins.train([ast.literal_eval(r["x"]) for r in lines])
+    return editor, margins
 
 
 def _rows_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -460,7 +656,7 @@ def noisy_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     not read. A line may be of two kinds; lines count from 1.
     """
     rows = _rows_of(df, key, text)
-    editor, patterns = learn(rows.select("t"))
+    editor, margins = learn(rows.select("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -468,7 +664,7 @@ def noisy_lines(df: DataFrame, key: str, text: str) -> DataFrame:
             out = []
             for k, t in zip(pdf["k"], pdf["t"]):
                 if scanned(t):
-                    _, furn, joins, bad = noise(t, editor, patterns)
+                    _, furn, joins, bad = noise(t, editor, margins)
                     out += [(k, i + 1, f) for i, f in furn.items()] + [(k, i + 1, "hyphen") for i in joins] + [(k, i + 1, "misread") for i, b in bad.items() if b]
             yield pd.DataFrame(out, columns=["k", "line_no", "noise_kind"])
 
@@ -478,11 +674,11 @@ def noisy_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 def repaired(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, repaired) of every row with a text; documents that were not scanned come out as they are."""
     rows = _rows_of(df, key, text)
-    editor, patterns = learn(rows.select("t"))
+    editor, margins = learn(rows.select("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"k": pdf["k"], "repaired": [repair(t, editor, patterns) for t in pdf["t"]]})
+            yield pd.DataFrame({"k": pdf["k"], "repaired": [repair(t, editor, margins) for t in pdf["t"]]})
 
     return rows.mapInPandas(run, f"k {kind}, repaired string").withColumnRenamed("k", key)
