@@ -32,7 +32,7 @@ from thicket.session import spread
 
 WORD_SHARE, PATTERN_SHARE = 2e-6, 0.001
 #: Words that the editor is trained on in a round, and documents whose lines train the finder of running lines.
-FIT, FIT_DOCUMENTS = 5_000, 4_000
+FIT, FIT_DOCUMENTS = 5_000, 1_000
 #: Lines of text between a line and the break of the page that it may belong to.
 NEAR = 2
 #: Words whose decisions a task remembers.
@@ -56,8 +56,9 @@ def plain(text: str) -> str:
     if _Look.table is None:
         _Look.table = {k: v for k, v in single_map().items() if chr(k) not in MARKS and "\n" not in v}
         _Look.odd = {chr(k) for k in _Look.table}
-    if not _Look.odd.isdisjoint(text):
-        text = text.translate(_Look.table)
+    if not text.isascii():
+        for ch in _Look.odd.intersection(text):  # few kinds in a text; none maps to another
+            text = text.replace(ch, _Look.table[ord(ch)])
     return re.sub(r"\xad(?![ \t]*(?:\n|$))", "", text) if "\xad" in text else text
 
 
@@ -95,7 +96,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             noisy.update(w for w in _WORD.findall(t.lower()) if len(w) > 4 and not _THREE_DIGITS.search(w))
             lines = t.split("\n")
-            own = Counter(pattern(lines[i]) for i in Page(lines).near if not _PAGE.match(lines[i].strip()))
+            page = Page(lines)
+            own = Counter(page.pattern(i) for i in page.near if i not in page.numbers)
             again.update(k for k, n in own.items() if n > 1 and len(k) > 3)
         if len(clean) + len(noisy) + len(again) > 500_000:  # a partition of any size in bounded memory
             yield _rows(clean, noisy, again)
@@ -130,12 +132,14 @@ class Page:
         self.up, self.down = self._distance(range(len(lines)), -1), self._distance(range(len(lines) - 1, -1, -1), 1)
         self.head = next((m.group(1).strip().lower() for x in self.strip if (m := _HEADING.match(x))), None)
         bare = [_DIGITS.sub("", s).strip() for s in self.strip]
+        self.plain = {i for i in self.filled if len(bare[i]) == len(self.strip[i])}  # without digits: their own pattern
         times = Counter(bare)
-        numbers = {i for i in self.filled if len(bare[i]) < 12 and _PAGE.match(self.strip[i])}
-        beside = {j for i in numbers for j in (self.beside(i, -1), self.beside(i, 1))}
+        self.numbers = {i for i in self.filled if len(bare[i]) < 12 and _PAGE.match(self.strip[i])}
+        self.fed = any("\x0c" in x for x in lines)
+        beside = {j for i in self.numbers for j in (self.beside(i, -1), self.beside(i, 1))}
         self.near = [
             i for i in self.filled
-            if i not in self.code and not _MARKUP.match(self.strip[i]) and (min(self.up[i], self.down[i]) <= NEAR or i in beside or (times[bare[i]] > 1 and len(bare[i]) > 3) or (self.head and self._like(bare[i])))
+            if i not in self.code and not _MARKUP.match(self.strip[i]) and (self.up[i] <= NEAR or self.down[i] <= NEAR or i in beside or (times[bare[i]] > 1 and len(bare[i]) > 3) or (self.head and self._like(bare[i])))
         ]
 
     def _distance(self, order: range, _side: int) -> list[int]:
@@ -153,6 +157,9 @@ class Page:
         s = s.rpartition(" / ")[2].lower()
         return abs(len(s) - len(self.head)) <= 2 or s[:4] == self.head[:4] or s[-4:] == self.head[-4:]
 
+    def pattern(self, i: int) -> str:
+        return self.strip[i] if i in self.plain else pattern(self.strip[i])
+
     def beside(self, i: int, d: int) -> int | None:
         k = self.place[i] + d
         return self.filled[k] if 0 <= k < len(self.filled) else None
@@ -206,6 +213,7 @@ class Editor:
             self.grams.update(self._runs(w))
         self.model = Perceptron()
         self.memo: dict[str, str | None] = {}
+        self.right: set[str] = set()  # words that were decided to read right
 
     @staticmethod
     def _runs(word: str) -> set[str]:
@@ -254,6 +262,7 @@ class Editor:
         if word not in self.memo:
             if len(self.memo) > MEMO:
                 self.memo.clear()
+                self.right.clear()
             options = self.edits(word, once=word in self.vocab)
             k = self.model.best(options)
             if not k and "-" in word and word not in self.vocab:  # a compound: part by part
@@ -277,7 +286,7 @@ class Editor:
         options = self.ends(left, mark, right)
         return options[self.model.best(options)][0]
 
-    def train(self, seed: int = 11, rounds: int = 10) -> None:
+    def train(self, seed: int = 11, rounds: int = 6) -> None:
         """On known words and compounds, FIT of each drawn anew every round: spoiled by the channel, left alone, half of the time taken for unknown, glued
         together to words that nobody knows, and broken at line ends."""
         rng = random.Random(seed)
@@ -316,6 +325,7 @@ class Editor:
                     self.model.learn(self.ends(w[:cut], rng.choice(MARKS), w[cut:]), 1)
         self.model.average()
         self.memo.clear()
+        self.right.clear()
 
 
 class Holes:
@@ -392,14 +402,17 @@ class Margins:
 
     def __init__(self, patterns: set[str]):
         self.patterns = patterns
-        self.loose = sorted(p.lower() for p in patterns)
+        self.loose: dict[tuple, list[str]] = defaultdict(list)  # by beginning and by end
+        for p in sorted({p.lower() for p in patterns}):
+            self.loose[0, p[:4]].append(p)
+            self.loose[1, p[-4:]].append(p)
         self.model = Perceptron()
-        self.weight: dict = {}  # for running against text
+        self.memo: dict[tuple, bool] = {}
 
     def _title(self, page: Page, s: str) -> tuple[str, bool]:
-        m = _SPLIT.match(s)
+        m = _SPLIT.match(s) if "  " in s else None
         core = (next((g for g in m.groups() if g), s) if m else s).strip().lower()
-        named = re.sub(r"^[^\W\d_]+ / ", "", core)
+        named = re.sub(r"^[^\W\d_]+ / ", "", core) if " / " in core else core
         if page.head and (core == page.head or named == page.head):
             return "same", m is not None
         return ("close" if page.head and page._like(core) and (_close(core, page.head) or _close(named, page.head)) else "other"), m is not None
@@ -408,76 +421,85 @@ class Margins:
         if own in self.patterns:
             return "same"
         low = own.lower()
+        near = [p for k in ((0, low[:4]), (1, low[-4:])) for p in self.loose.get(k, ()) if abs(len(p) - len(low)) < 3]
+        if not near:
+            return "no"
         bare = _DIGITS.sub("", low)
-        near = (p for p in self.loose if abs(len(p) - len(low)) < 3 and (p[:4] == low[:4] or p[-4:] == low[-4:]))
         return "close" if any(_close(low, p) or _close(bare, _DIGITS.sub("", p)) for p in near) else "no"
 
-    def features(self, page: Page) -> dict[int, tuple[list, list]]:
-        """line -> (features of its place and form, features of its recurrence), of the lines near breaks of pages."""
+    def keys(self, page: Page) -> dict[int, tuple]:
+        """line -> what the features are made of, for the lines that may be a page's margin."""
         if not page.near:
             return {}
-        patterns = {i: pattern(page.lines[i]) for i in page.near}
+        patterns = {i: page.pattern(i) for i in page.near}
         own = Counter(patterns.values())
         often = [p.lower() for p, n in own.most_common(6) if n > 1]
         width = sorted(len(page.strip[i]) for i in page.filled)[len(page.filled) * 3 // 4] or 1
         out = {}
-        for i in page.near:
-            s = page.strip[i]
-            if _PAGE.match(s):
+        for i, mine in patterns.items():
+            if i in page.numbers:
                 continue
-            up, down = min(page.up[i], 3), min(page.down[i], 3)
+            s = page.strip[i]
             before, after = page.beside(i, -1), page.beside(i, 1)
-            number = any(j is not None and _PAGE.match(page.strip[j]) for j in (before, after))
-            feed = any("\x0c" in x for x in page.lines[max(0, i - 2) : i + 3])
+            feed = page.fed and any("\x0c" in x for x in page.lines[max(0, i - 2) : i + 3])
             title, split = self._title(page, s)
-            last = "end" if _END.search(s) else "comma" if s[-1] == "," else "mark" if s[-1] in _MARK_SET else "digit" if s[-1].isdigit() else "open"
+            last = "comma" if s[-1] == "," else "mark" if s[-1] in _MARK_SET else "digit" if s[-1].isdigit() else "end" if _END.search(s) else "open"
             first = "digit" if s[0].isdigit() else "small" if s[0].islower() else "large"
-            wide = min(4, 4 * len(s) // width)
-            place = [("up", up), ("down", down), ("both", up, down), ("number", number), ("feed", feed), ("edge", before is None, after is None), ("last", last), ("first", first), ("wide", wide), ("form", last, first, wide), ("sides", first, last), ("first", first, number), ("title", title), ("title number", title, split, number), ("title place", title, min(up, down))]
-            mine = patterns[i]
-            low = mine.lower()
             n = min(own[mine], 3)
-            if n == 1 and any(abs(len(low) - len(q)) < 3 and (low[:4] == q[:4] or low[-4:] == q[-4:]) and _close(low, q) for q in often):
-                n = -1  # but for misread letters
-            shared = self._shared(mine)
-            again = [("again", n), ("shared", shared), ("again shared", n, shared), ("again title", n, title), ("again number", n, number, shared)]
-            out[i] = (place, again)
+            if n == 1 and often:
+                low = mine.lower()
+                if any(abs(len(low) - len(q)) < 3 and (low[:4] == q[:4] or low[-4:] == q[-4:]) and _close(low, q) for q in often):
+                    n = -1  # but for misread letters
+            out[i] = (min(page.up[i], 3), min(page.down[i], 3), before in page.numbers or after in page.numbers, feed, before is None, after is None, last, first, min(4, 4 * len(s) // width), title, split, n, self._shared(mine))
         return out
 
-    def sure(self, page: Page) -> list[tuple[bool, list, list]]:
-        """(running, place, recurrence) of the lines of a document that are sure."""
+    @staticmethod
+    def features(key: tuple) -> tuple[list, list]:
+        """(features of a line's place and form, features of its recurrence)."""
+        up, down, number, feed, top, end, last, first, wide, title, split, n, shared = key
+        place = [("up", up), ("down", down), ("both", up, down), ("number", number), ("feed", feed), ("edge", top, end), ("last", last), ("first", first), ("wide", wide), ("form", last, first, wide), ("sides", first, last), ("first", first, number), ("title", title), ("title number", title, split, number), ("title place", title, min(up, down))]
+        return place, [("again", n), ("shared", shared), ("again shared", n, shared), ("again title", n, title), ("again number", n, number, shared)]
+
+    def sure(self, page: Page) -> list[tuple[bool, tuple]]:
+        """(running, key) of the lines of a document that are sure."""
         out = []
-        for place, again in self.features(page).values():
-            n, shared, title = again[0][1], again[1][1], dict((f[0], f[1]) for f in place)["title"]
-            form = dict((f[0], f[1]) for f in place)
-            ends, text = form["last"] in ("open", "digit") and form["first"] != "small", shared == "no" and title == "other"
-            if not text and (shared == "same" or n != 1 or form["number"] or form["feed"]):
-                out.append((True, place, again))
-            elif n >= 3 and ends and (form["number"] or form["feed"]):
-                out.append((True, place, again))
+        for key in self.keys(page).values():
+            _, _, number, feed, _, _, last, first, _, title, _, n, shared = key
+            ends, text = last in ("open", "digit") and first != "small", shared == "no" and title == "other"
+            if not text and (shared == "same" or n != 1 or number or feed):
+                out.append((True, key))
+            elif n >= 3 and ends and (number or feed):
+                out.append((True, key))
             elif text and (n == 1 or not ends):
-                out.append((False, place, again))
+                out.append((False, key))
         return out
 
     @staticmethod
     def _options(feats: list) -> list[tuple[bool, list]]:
         return [(False, [("text", *f) for f in feats]), (True, [("running", *f) for f in feats])]
 
-    def train(self, lines: list[tuple[bool, list, list]], seed: int = 5, rounds: int = 8) -> None:
+    def train(self, lines: list[tuple[bool, tuple]], seed: int = 5, rounds: int = 8) -> None:
         rng = random.Random(seed)
         yes, no = [x for x in lines if x[0]], [x for x in lines if not x[0]]
         for _ in range(rounds if yes and no else 0):
             some = yes + rng.sample(no, min(len(no), 5 * len(yes)))
             rng.shuffle(some)
-            for running, place, again in some:
+            for running, key in some:
+                place, again = self.features(key)
                 self.model.learn(self._options(place + (again if rng.random() < 0.6 else [])), int(running))
         self.model.average()
-        every = {f[1:] for f in self.model.w}
-        self.weight = {f: self.model.w.get(("running", *f), 0.0) - self.model.w.get(("text", *f), 0.0) for f in every}
+        self.memo.clear()
 
     def running(self, page: Page) -> set[int]:
-        w = self.weight
-        return {i for i, (place, again) in self.features(page).items() if sum(w.get(f, 0.0) for f in place) + sum(w.get(f, 0.0) for f in again) > 1e-9}
+        out = set()
+        for i, key in self.keys(page).items():
+            yes = self.memo.get(key)
+            if yes is None:  # few thousand keys there can be
+                place, again = self.features(key)
+                yes = self.memo[key] = bool(self.model.best(self._options(place + again)))
+            if yes:
+                out.add(i)
+        return out
 
 
 def furniture(lines: list[str], margins: Margins) -> dict[int, str]:
@@ -516,6 +538,8 @@ def noise(text: str, editor: Editor, margins: Margins) -> tuple[list[str], dict[
     """Lines, furniture, joins (line -> the line that goes on, the word) and misread words (line -> [(from, to, meant)])."""
     lines = plain(text).split("\n")
     kind = furniture(lines, margins)
+    if len(editor.right) > 2 * MEMO:
+        editor.right.clear()
     body = [i for i, x in enumerate(lines) if i not in kind and x.strip("\x0c \t")]
     joins: dict[int, tuple[int, str]] = {}
     bad: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
@@ -539,14 +563,19 @@ def noise(text: str, editor: Editor, margins: Margins) -> tuple[list[str], dict[
             stop = m.start(1)
             skip[body[k + 1]] = n.end(1)
         start = skip.get(i, 0)
-        if not any(len(w) > 3 and editor.memo.get(w, w) is not None for w in _WORD.findall(x[start:stop].lower())):
-            continue  # words that were decided to read right
+        if editor.right.issuperset(_WORD.findall(x[start:stop].lower())):
+            continue
         for w in _WORD.finditer(x, start, stop):
             word = w.group()
-            if len(word) < 4 or (w.end() < len(x) and x[w.end()] in "@=") or (w.start() and x[w.start() - 1] in "@/."):
+            if len(word) < 4:
+                editor.right.add(word.lower())
+                continue
+            if (w.end() < len(x) and x[w.end()] in "@=") or (w.start() and x[w.start() - 1] in "@/."):
                 continue
             low = word.lower()
-            if not _code(low) and (fix := editor.meant(low)) is not None and len(fix.replace("-", "")) > 4:
+            if _code(low) or (fix := editor.meant(low)) is None:
+                editor.right.add(low)
+            elif len(fix.replace("-", "")) > 4:
                 bad[i].append((w.start(), w.end(), fix))
     return lines, kind, joins, bad
 
@@ -635,11 +664,11 @@ def learn(df: DataFrame) -> tuple[Editor, Margins]:
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"x": [repr(x) for t in pdf["t"] if scanned(t) for x in margins.sure(Page(plain(t).split("\n")))]}, dtype=object)
+            yield pd.DataFrame({"x": [repr(x) for t in pdf["t"] if scanned(t) for x in margins.sure(Page(plain(t).split("\n")))]}, dtype=object)  # some 100 bytes a line
 
     # A bounded sample by hash, to which the finder is fitted: all documents while there are few.
     part = df.where(F.pmod(F.xxhash64(F.lit(29), "t"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_DOCUMENTS / max(1, total))))
-    lines = part.mapInPandas(label, "x string").orderBy(F.xxhash64("x"), "x").limit(50 * FIT_DOCUMENTS).collect()
+    lines = part.mapInPandas(label, "x string").orderBy(F.xxhash64("x"), "x").limit(20 * FIT_DOCUMENTS).collect()
     margins.train([ast.literal_eval(r["x"]) for r in lines])
     return editor, margins
 
