@@ -28,7 +28,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from thicket.llm.unify import consistent_form
 from thicket.session import cut, spread
@@ -276,7 +275,9 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str | None = No
     schema = "row_id long, kind int, digest binary, nodes array<long>, rank long, rest long, c0 long, c1 long, c2 long, c3 long, bag binary"
     rows = cut(form.mapInPandas(_fingerprint, schema))
     reps = rows.groupBy("kind", "digest").agg(F.min_by(F.struct("row_id", "nodes", "rank", "rest", *_COUNTS), "row_id").alias("r")).select("r.*")
-    members = rows.select("row_id", "kind", "digest").distinct().withColumn("rep", F.min("row_id").over(Window.partitionBy("kind", "digest")))
+    # A join, not a window: copies of one text, however many, are never put together in a task.
+    least = rows.groupBy("kind", "digest").agg(F.min("row_id").alias("rep"))
+    members = rows.select("row_id", "kind", "digest").distinct().join(least, ["kind", "digest"])
     flat = reps.select(F.col("row_id").alias("id"), F.explode("nodes").alias("node"), "rank", "rest", *_COUNTS)
     hot = flat.groupBy("node").count().where(F.col("count") > node_rows).select("node", F.ceil(F.col("count") / node_rows).cast("int").alias("n"))
     placed = (
