@@ -28,6 +28,8 @@ DIMS, BITS = 10, 6
 CURVES, WINDOW = 16, 40
 #: Rows with this share of a window as candidates, over all orderings, are finished exactly.
 CROWDED = 0.5
+#: Keys that a task of the sweep holds, on average.
+PART = 500_000
 #: Rows of either side that a task of the exact pass compares.
 BLOCK = 16_384
 #: What 8-bit codes may lose of a cosine.
@@ -211,7 +213,8 @@ def close_vectors(df: DataFrame, row_id: str, vector: str, size: int = 64, least
     members = rows.select("id", "h1", "h2").distinct().join(points.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep")
     keyed = points.select("id", "v").mapInPandas(_keys(size, curves), "curve int, key long, id long, code binary")
     run, border = _windows(size, window, least - SLACK)
-    swept = cut(keyed.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key").mapInPandas(run, "a long, b long, border int, side int, place int, curve int, code binary"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points.count() * curves // PART))
+    swept = cut(keyed.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key").mapInPandas(run, "a long, b long, border int, side int, place int, curve int, code binary"))
     over = swept.where("a is null").groupBy("border").applyInPandas(border, "a long, b long")
     found = cut(swept.where("a is not null").select("a", "b").unionByName(over).where("a <> b").distinct())
     vec = points.select("id", "v")
