@@ -13,6 +13,7 @@ from thicket.functions import redaction, text
 from thicket.operators import changes, gates, markdown, retrieval, vectors
 from thicket.plans.oracle import SQL
 from thicket.session import spread
+from thicket.sources import files
 from thicket.sources.tables import table
 
 __all__ = ["QUERIES", "SQL"]
@@ -133,6 +134,17 @@ def verify_all(s: SparkSession, d: str) -> DataFrame:
     return vectors.verify(_emitted(s, d, late=True).where("embedding is not null").select("row_id", "chunk_id"), _index(s, d), "row_id", sample=None)
 
 
+# Conversion.
+
+
+def html_markdown(s: SparkSession, d: str) -> DataFrame:
+    """Documents as pages of HTML (source as heading, text as paragraph), converted as the ingestion does."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<html><head><title>x</title></head><body><h1>"), safe(F.col("source")), F.lit("</h1><p>"), safe(F.col("text")), F.lit("</p></body></html>"))
+    made = spread(table(s, d, "documents")).select(F.concat(F.col("doc_id").cast("string"), F.lit(".html")).alias("file_name"), F.encode(page, "UTF-8").alias("content"))
+    return files.convert(made).select("file_name", F.col("markdown_content").alias("markdown"))
+
+
 # Headings and tables.
 
 
@@ -305,6 +317,7 @@ QUERIES: dict[str, Query] = {
     "collapse_newlines": _on_text(text.collapse_newlines), "strip_text": _on_text(P.strip), "clean_full": _on_text(*text.CLEAN, null_too=True),
     "nfkc": _on_text(text.nfkc), "strip_invisible": _on_text(text.strip_invisible), "ligatures": _on_text(text.ligatures), "dehyphenate": _on_text(text.dehyphenate), "collapse_spaces": _on_text(text.collapse_spaces), "normalise_full": _on_text(*text.NORMALISE),
     "pii_email": _on_text(redaction.redact_email), "pii_ssn": _on_text(redaction.redact_ssn), "pii_phone": _on_text(redaction.redact_phone), "pii_card": _on_text(redaction.redact_card), "preprocess_full": preprocess_full,
+    "html_markdown": html_markdown,
     "md_lines": md_lines, "md_headings": md_headings, "breadcrumbs": breadcrumbs, "md_blocks": md_blocks, "propagate_headers": propagate_headers,
     "md_segments": md_segments, "md_tables": md_tables, "table_columns": table_columns, "table_summary": table_summary, "text_chunks": text_chunks, "chunk_ids": chunk_ids, "has_code_block": has_code_block, "chunk_metadata": chunk_metadata,
     "hash_embedding": hash_embedding, "cosine_pairs": cosine_pairs, "vector_topk": vector_topk,

@@ -153,6 +153,9 @@ SQL: dict[str, str] = {
         per AS (SELECT load_id, list(x ORDER BY length(x) DESC, x) AS xs FROM good GROUP BY load_id)
         SELECT load_id, CASE WHEN xs IS NULL THEN markdown_content ELSE list_reduce(list_prepend(markdown_content, xs), lambda a, x: replace(a, x, '<CREDIT_CARD>')) END AS text
         FROM loaded_docs LEFT JOIN per USING (load_id) WHERE markdown_content IS NOT NULL""",
+    "html_markdown": rf"""
+        WITH x AS (SELECT doc_id, {_strip(f"regexp_replace(coalesce(source, ''), '{_WS}+', ' ', 'g')")} AS h, {_strip(f"regexp_replace(coalesce(text, ''), '{_WS}+', ' ', 'g')")} AS p FROM documents)
+        SELECT doc_id || '.html' AS file_name, concat_ws(chr(10) || chr(10), CASE WHEN h <> '' THEN '# ' || h END, CASE WHEN p <> '' THEN p END) AS markdown FROM x""",
     "md_lines": f"{_LINES} SELECT load_id, pos, line FROM ln",
     "md_headings": f"{_HEAD} SELECT load_id, pos, level, title FROM hd",
     "breadcrumbs": f"{_HEAD} SELECT load_id, pos, breadcrumb FROM crumb",
