@@ -47,8 +47,9 @@ def run(spark, rows, **kw):
     return N.near_duplicates(df, "row_id", "t", "digest", 0.7, **kw)
 
 
-@pytest.mark.parametrize("node_rows", [2048, 3])
-def test_all_pairs(spark, node_rows):
+@pytest.mark.parametrize("node_rows, hot", [(2048, 500_000), (3, 500_000), (3, 0)])
+def test_all_pairs(spark, monkeypatch, node_rows, hot):
+    monkeypatch.setattr(N, "HOT", hot)
     rows = corpus()
     want = brute(rows, 0.7)
     got = {tuple(r) for r in N.pairs(run(spark, rows, node_rows=node_rows)).collect()}

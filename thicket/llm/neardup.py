@@ -38,6 +38,8 @@ MASKS = SLOTS // PER_MASK
 RADIUS = 34
 #: Bins of the counts of words, of four bits each; 15 stands for 15 or more.
 BINS = 64
+#: Nodes to be cut into blocks whose table (12 bytes each) is still broadcast.
+HOT = 500_000
 _COUNTS = ["c0", "c1", "c2", "c3"]
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -279,9 +281,10 @@ def near_duplicates(df: DataFrame, row_id: str, text: str, kind: str | None = No
     least = rows.groupBy("kind", "digest").agg(F.min("row_id").alias("rep"))
     members = rows.select("row_id", "kind", "digest").distinct().join(least, ["kind", "digest"])
     flat = reps.select(F.col("row_id").alias("id"), F.explode("nodes").alias("node"), "rank", "rest", *_COUNTS)
-    hot = flat.groupBy("node").count().where(F.col("count") > node_rows).select("node", F.ceil(F.col("count") / node_rows).cast("int").alias("n"))
+    hot = cut(flat.groupBy("node").count().where(F.col("count") > node_rows).select("node", F.ceil(F.col("count") / node_rows).cast("int").alias("n")))
+    few = hot.limit(HOT + 1).count() <= HOT  # then their table is small enough to be sent to all; else the rows go to it
     placed = (
-        flat.join(hot, "node", "left")
+        flat.join(F.broadcast(hot) if few else hot.hint("merge"), "node", "left")
         .withColumn("n", F.coalesce("n", F.lit(1)))
         .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
