@@ -116,6 +116,8 @@ LABELERS = {
 #: What the corpus says about a word: mostly in small letters; capitalised, but mostly alone or never beside a known name;
 #: mostly beside a known name.
 ORDINARY, NOUN, BESIDE = 1, 2, 4
+#: Outlines in which the family name comes first.
+TURNED = ("comma", "upper", "behind")
 _WORD = re.compile(_W)
 #: Words of the text itself, not of addresses of the net.
 _COUNTED = re.compile(rf"(?<![\w@.+\-]){_W}(?![@_]|[.+\-]\w)")
@@ -242,8 +244,7 @@ class Names:
         words.update(_COUNTED.findall(s))
         near = set()
         for a, b, first, second, outline in self.pairs(s, False):
-            turned = outline in ("comma", "upper", "behind")  # the family name comes first
-            given, family = (second, first) if turned else (first, second)
+            given, family = (second, first) if outline in TURNED else (first, second)
             near |= {(x, "b", at) for x, at in ((first, a), (second, b)) if len(x) > 1}
             if len(given) > 1 and _fold(family) in self.family:
                 near.add((given, "k", a))
@@ -339,12 +340,13 @@ class Extractor:
             n = self.names
             sx, sy = n.said.get(x, 0), n.said.get(y, 0)
             words = [w for w in (x, y) if len(w) > 1]
+            given, family = (y, x) if outline in TURNED else (x, y)  # a name of either sort counts in its own place
             other = (0 if x in n.listed else sx) | (0 if y in n.listed else sy)  # of words that are no known names
             prev = before(a)
             title = re.search(rf"(?:^|[^\w])({'|'.join(_TITLE)})\.?[ \n]+$", prev, re.I) is not None
             follows = re.match(r"[ \n,(]{1,3}(?:[\w.+%\-]+ ?(?:@|[\[(]at[\])])|\+?\(?\d{2,})", s[b : b + 60]) is not None
             votes = [
-                int(any(w in n.family for w in words)), int(any(w in n.given for w in words)), int(all(w in n.listed or n.said.get(w, 0) & BESIDE for w in words)), int(title),
+                int(any(w in n.family for w in (words if uniform else (family,)))), int(any(w in n.given for w in (words if uniform else (given,)))), int(all(w in n.listed or n.said.get(w, 0) & BESIDE for w in words)), int(title),
                 int(outline in ("comma", "initial", "middle", "upper", "behind") and bool(any(w in n.listed for w in words) or (sx | sy) & BESIDE)), int(follows), alone(a, b),
                 -int(bool(other & ORDINARY)), -int(bool(other & NOUN)), -int(_LEGAL.match(s, b) is not None),
             ]
