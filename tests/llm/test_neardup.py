@@ -143,3 +143,52 @@ def test_index_finds_what_a_scan_finds():
         a, b = np.triu_indices(len(r1), 1)
         near = np.bitwise_count(r1[a] ^ r1[b]).astype(int) + np.bitwise_count(r2[a] ^ r2[b]) <= radius
         assert set(zip(i.tolist(), j.tolist())) == set(zip(a[near].tolist(), b[near].tolist()))
+
+
+def test_rows_that_are_not_alike_seldom_meet():
+    """Such pairs grow with the square of the table, so their share decides whether large tables end in time."""
+    assert N.MASKS * 0.2**N.PER_MASK < 0.02 and (1 - 0.7**N.PER_MASK) ** N.MASKS < 3e-4
+    rng = random.Random(31)
+    _, e, row = N.bags([" ".join(f"w{rng.randrange(120)}" for _ in range(60)) for _ in range(1500)])
+    nodes = N.patterns(N.slots(e, np.flatnonzero(np.r_[True, row[1:] != row[:-1]])), np.zeros(1500, np.int64))
+    _, size = np.unique(nodes, return_counts=True)
+    assert (size * (size - 1) // 2).sum() < 0.05 * 1500 * 1499 / 2
+
+
+def test_pairs_at_the_threshold_meet():
+    rng, texts = random.Random(12), []
+    for k in range(3000):  # 70 words in common of 100 or fewer
+        both, own = [f"b{k}x{i}" for i in range(70)], rng.randint(24, 30)
+        first = rng.randint(0, own)
+        texts += [" ".join(both + [f"u{k}x{i}" for i in range(first)]), " ".join(both + [f"v{k}x{i}" for i in range(own - first)])]
+    _, e, row = N.bags(texts)
+    s = N.slots(e, np.flatnonzero(np.r_[True, row[1:] != row[:-1]]))
+    nodes, words = N.patterns(s, np.zeros(len(texts), np.int64)), N.residual(s)
+    meet = (nodes[::2] == nodes[1::2]).any(1)
+    near = sum(np.bitwise_count(w[::2] ^ w[1::2]).astype(int) for w in words) <= N.RADIUS
+    assert (meet & near).mean() > 0.998
+
+
+@pytest.mark.parametrize("n", [40, 300, 1000])
+def test_index_of_more_words_finds_what_a_scan_finds(n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, (3, 20), dtype=np.uint64)[:, rng.integers(0, 20, n)]
+    words = [w ^ (np.uint64(1) << rng.integers(0, 63, n, dtype=np.uint64)) for w in base]
+    words = [w[np.argsort(N.gray_rank(words[0]))] for w in words]
+    a, b = np.triu_indices(n, 1)
+    bits = sum(np.bitwise_count(w[a] ^ w[b]).astype(int) for w in words)
+    for radius in (0, 5, 90, 192):
+        i, j = N.search_node(words[0], words[1], radius, words[2])
+        assert len(i) == (bits <= radius).sum() and set(zip(i.tolist(), j.tolist())) == set(zip(a[bits <= radius].tolist(), b[bits <= radius].tolist()))
+
+
+def test_blocks_from_estimated_sizes_lose_nothing(spark):
+    rng = random.Random(8)
+    base, rows = words(60, rng), []
+    for i in range(700):
+        own = list(base)
+        for k in rng.sample(range(60), rng.randint(1, 9)):
+            own[k] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own), i % 7 == 0))
+    found = [{tuple(r) for r in N.pairs(run(spark, rows, **kw)).collect()} for kw in ({}, {"node_rows": 2 * N.SEEN})]
+    assert found[0] == found[1] and len(found[0]) > 100_000
